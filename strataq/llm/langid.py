@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 #: Bounds of the fitted sample: rows of a language, and UTF-8 bytes of a row that may enter a dictionary.
 SAMPLE_ROWS, SAMPLE_TEXT, MOST_LANGUAGES = 160, 4096, 512
 #: Bytes of text that are encoded at once: short enough that the dictionary, not the text's own past, decides.
-PIECE = 2048
-LEVEL = 1
+PIECE = 4096
+LEVEL = 6
 UNKNOWN = "und"
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from a bounded sample of the rows where `train` holds.
+    """Raw-content dictionaries of lower-cased text by language, from a bounded sample of the rows where `train` holds.
 
     Rows with null or empty text, null lang, or texts over SAMPLE_TEXT bytes don't enter the sample; of each language
     the SAMPLE_ROWS rows with the least hash of their key do (ties: by text). Only the chosen rows' texts leave the executors.
@@ -38,7 +38,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     texts: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r.l, r.h, r.t)):
         if len(own := texts.setdefault(r.l, [])) < SAMPLE_ROWS:
-            own.append(r.t.encode())
+            own.append(r.t.lower().encode())
     return {name: b"\n".join(parts) for name, parts in texts.items()}
 
 
@@ -52,8 +52,8 @@ def _encoders(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdC
 
 
 def encoded_sizes(text: str, encoders: list) -> list[int]:
-    """Bytes that the whole text takes with each dictionary, piece by piece."""
-    raw = text.encode()
+    """Bytes that the whole lower-cased text takes with each dictionary, piece by piece."""
+    raw = text.lower().encode()
     pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
     return [sum(len(e.compress(p)) for p in pieces) for _, e in encoders]
 
