@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import langid
+from strataq.llm import bpe, langid
 from strataq.llm.common import remainder, table
 
 ORACLES: dict[str, str] = {}
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, [F.col("doc_id")]))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = remainder(F.col("doc_id"), 5) == 0
@@ -18,4 +25,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, known, [F.col("doc_id"), held.alias("held_out")])
 
 
-QUERIES = {"op10_language_id": op10_language_id}
+QUERIES = {"op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
