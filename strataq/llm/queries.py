@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import bpe, decontaminate, langid
+from strataq.llm import bpe, decontaminate, langid, urlfilter
 from strataq.llm.common import remainder, table
 
 ORACLES: dict[str, str] = {
+    "op5_url_filter": r"""
+WITH r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+a AS (SELECT page_id, row_number() OVER () AS rid, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, rid, translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1, 's') AS path FROM a),
+m AS (SELECT rid, arg_max(rh || rp, length(rh || rp) * 10000 + length(rh)) AS rule, arg_max(v, length(rh || rp) * 10000 + length(rh)) AS v FROM u JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m USING (rid)""",
     "op8_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -23,6 +29,14 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)""",
 }
 
 
+URL_RULES = "VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM {URL_RULES} AS rules(host, path, verdict)")
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, [F.col("page_id")])
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), [F.col("doc_id")])
@@ -44,4 +58,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, known, [F.col("doc_id"), held.alias("held_out")])
 
 
-QUERIES = {"op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
+QUERIES = {"op5_url_filter": op5_url_filter, "op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
