@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import bpe, decontaminate, langid, simhash, urlfilter
-from strataq.llm.common import remainder, table
+from strataq.llm import bpe, decontaminate, langid, sharding, simhash, urlfilter
+from strataq.llm.common import remainder, staged, table
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": r"""
@@ -29,6 +29,16 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)""",
 }
 
 
+SHARDS = 40
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("_group"))
+    found = sharding.pack(staged(docs, "sizes"), "_group", "size", [F.col("doc_id"), F.col("_group")], shards=SHARDS)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 URL_RULES = "VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
 
 
@@ -64,4 +74,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, known, [F.col("doc_id"), held.alias("held_out")])
 
 
-QUERIES = {"op7_simhash": op7_simhash, "op5_url_filter": op5_url_filter, "op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
+QUERIES = {"op3_sharding": op3_sharding, "op7_simhash": op7_simhash, "op5_url_filter": op5_url_filter, "op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
