@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import bpe, decontaminate, langid, quality, sharding, simhash, urlfilter
+from strataq.llm import bpe, decontaminate, langid, media, quality, sharding, simhash, urlfilter
 from strataq.llm.common import remainder, staged, table
 
 ORACLES: dict[str, str] = {
@@ -45,6 +45,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.store(table(spark, sf_dir, "documents").select("doc_id", "text"), [F.col("doc_id")]))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+
+
 URL_RULES = "VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
 
 
@@ -80,4 +85,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, known, [F.col("doc_id"), held.alias("held_out")])
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_sharding": op3_sharding, "op7_simhash": op7_simhash, "op5_url_filter": op5_url_filter, "op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
+QUERIES = {"op4_media": op4_media, "op2_quality": op2_quality, "op3_sharding": op3_sharding, "op7_simhash": op7_simhash, "op5_url_filter": op5_url_filter, "op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
