@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import bpe, decontaminate, langid, media, quality, sharding, simhash, urlfilter
+from strataq.llm import bpe, decontaminate, langid, lm, media, quality, sharding, simhash, urlfilter
 from strataq.llm.common import remainder, staged, table
 
 ORACLES: dict[str, str] = {
@@ -29,6 +29,12 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)""",
 }
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = remainder(F.col("doc_id"), 10)
+    return lm.score(docs, [F.col("doc_id"), (rest == 0).alias("held_out")], "text", rest != 0, rest == 9)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), remainder(F.col("doc_id"), 3) != 1)
@@ -85,4 +91,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, known, [F.col("doc_id"), held.alias("held_out")])
 
 
-QUERIES = {"op4_media": op4_media, "op2_quality": op2_quality, "op3_sharding": op3_sharding, "op7_simhash": op7_simhash, "op5_url_filter": op5_url_filter, "op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
+QUERIES = {"op1_context_mixing": op1_context_mixing, "op4_media": op4_media, "op2_quality": op2_quality, "op3_sharding": op3_sharding, "op7_simhash": op7_simhash, "op5_url_filter": op5_url_filter, "op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
