@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import bpe, decontaminate, langid, lm, media, quality, sharding, simhash, urlfilter
+from strataq.llm import bpe, decontaminate, langid, lm, media, pii, quality, sharding, simhash, urlfilter
 from strataq.llm.common import remainder, staged, table
 
 ORACLES: dict[str, str] = {
@@ -64,6 +64,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, [F.col("page_id")])
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.scan(docs, pii.fit(docs), [F.col("doc_id")])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, [F.col("doc_id")], F.col("doc_id"))
@@ -91,4 +97,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, known, [F.col("doc_id"), held.alias("held_out")])
 
 
-QUERIES = {"op1_context_mixing": op1_context_mixing, "op4_media": op4_media, "op2_quality": op2_quality, "op3_sharding": op3_sharding, "op7_simhash": op7_simhash, "op5_url_filter": op5_url_filter, "op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
+QUERIES = {"op6_pii": op6_pii, "op1_context_mixing": op1_context_mixing, "op4_media": op4_media, "op2_quality": op2_quality, "op3_sharding": op3_sharding, "op7_simhash": op7_simhash, "op5_url_filter": op5_url_filter, "op8_decontamination": op8_decontamination, "op9_byte_bpe": op9_byte_bpe, "op10_language_id": op10_language_id}
