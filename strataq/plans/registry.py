@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from strataq.plans import maps
+
+QUERIES: dict = dict(maps.QUERIES)
+ORACLES: dict[str, str] = dict(maps.ORACLES)
