@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataq.plans import maps
+from strataq.plans import maps, more
 
-QUERIES: dict = dict(maps.QUERIES)
-ORACLES: dict[str, str] = dict(maps.ORACLES)
+QUERIES: dict = maps.QUERIES | more.QUERIES
+ORACLES: dict[str, str] = maps.ORACLES | more.ORACLES
