@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataq.plans import maps, more
+from strataq.plans import extra, maps, more
 
-QUERIES: dict = maps.QUERIES | more.QUERIES
-ORACLES: dict[str, str] = maps.ORACLES | more.ORACLES
+QUERIES: dict = maps.QUERIES | more.QUERIES | extra.QUERIES
+ORACLES: dict[str, str] = maps.ORACLES | more.ORACLES | extra.ORACLES
