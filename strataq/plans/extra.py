@@ -33,11 +33,11 @@ def kind_predicates(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_entries").select("entry_key", P.has_body(kind).alias("has_body"), P.claims_blocks(kind).alias("claims"), P.body_kind(F.col("stored_length")).alias("body_kind"))
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || ['', 'K', 'M', 'G', 'x'][1 + p_partkey % 5] AS literal, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1024::BIGINT WHEN 2 THEN p_size * 1048576::BIGINT WHEN 3 THEN p_size * 1073741824::BIGINT END AS bytes FROM part")
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || ['', 'K', 'M', 'G', 'x'][1 + p_partkey % 5] AS literal, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1024::BIGINT WHEN 2 THEN p_size * 1048576::BIGINT WHEN 3 THEN p_size * 1073741824::BIGINT ELSE -1 END AS bytes FROM part")
 def size_literals(spark, sf_dir):
     unit = F.element_at(F.array(*map(F.lit, ("", "K", "M", "G", "x"))), (F.col("p_partkey") % 5 + 1).cast("int"))
     literal = F.concat(F.col("p_size").cast("string"), unit)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", literal.alias("literal"), P.size_literal(literal).alias("bytes"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", literal.alias("literal"), F.coalesce(P.size_literal(literal), F.lit(-1)).alias("bytes"))
 
 
 @query("SELECT c_custkey, regexp_full_match(n, '[A-Za-z0-9][A-Za-z0-9._-]{0,62}') AS valid FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '-' || c_name WHEN c_custkey % 3 = 1 THEN replace(c_name, '#', '-') ELSE c_name || ' x' END AS n FROM customer)")
