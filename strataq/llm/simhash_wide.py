@@ -1,9 +1,15 @@
-"""Near-duplicates at a Jaccard similarity, by wide SimHash fingerprints and vantage-point trees.
+"""Near-duplicates at an exact Jaccard similarity of shingle sets: wide SimHash fingerprints first, then what they miss.
 
-At a similarity of 0.8 the 64 bits of simhash.py differ in ten places or so, as many as no tree over 64 bits can prune. 512
-bits tell the similarity to about 0.02, so links are taken from them: two texts are linked if their fingerprints differ in no
-more bits than texts at the similarity do, plus a standard deviation. Shards are projections onto few bits: as many choices
-of bits as a pair at the similarity needs to agree on one of them with the wanted probability.
+At a similarity of 0.8 the 64 bits of simhash.py differ in ten places or so, as many as no tree over 64 bits can prune, so
+fingerprints have 512 bits. Shards are projections onto few bits: as many choices of bits as a pair at the similarity needs
+to agree on one of them with the wanted probability; vantage-point trees in them gather fingerprints within the expected
+number of bits plus a standard deviation. A member stays in such a group only if its shingle set has the similarity to the
+group's root.
+
+Fingerprints miss pairs, of short texts above all. So a prefix filter finds every other pair: in one order of all shingles,
+two sets of the similarity share one of the first n - ceil(similarity * n) + 1 shingles of each. Pairs that meet there, aren't
+in one group yet and can still have the similarity by their sizes, places and sketches are compared by their whole sets. The order has
+shingles last that are common in a sample of texts; that only decides how many pairs meet, not which are found.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.sql import functions as F
 
 from strataq.llm.common import slices, staged
 from strataq.llm.components import roots
+from strataq.llm.lm import small_batches
 from strataq.llm.simhash import LEAF, SLICE, labels
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
@@ -26,6 +33,12 @@ WORDS = 8
 BITS = 64 * WORDS
 #: Fingerprints of a shard on average, at most; more of them make the projections wider.
 SHARD = 4096
+#: One text of SAMPLED is counted for the order of shingles; at most 2**COMMON_BITS shingles count as common, whatever the corpus.
+SAMPLED, COMMON_BITS = 8, 18
+#: Bits of the filter by which texts to compare are read again; false hits cost time only.
+FILTER_BITS = 26
+#: Against rounding, far below the least step of a similarity.
+TINY = 1e-9
 
 
 def share(similarity: float) -> float:
@@ -38,18 +51,27 @@ def radius(similarity: float) -> int:
     return round(BITS * p + math.sqrt(BITS * p * (1 - p)))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
-    """512 bits over the text's distinct shingles; words as in simhash.py. A text without words has all bits 0."""
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """128-bit hashes of the text's distinct shingles as rows of two words, sorted; words as in simhash.py. Fewer words than a
+    shingle has are one shingle; a text without words has none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8 * WORDS)
+        return np.zeros((0, 2), np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts, k = ends - sizes, min(shingle, len(words))
     h = xxhash.xxh3_128_digest
-    raw = b"".join({h(joined[a:b]) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)})
-    pairs = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    raw = b"".join(sorted({h(joined[a:b]) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)}))
+    return np.frombuffer(raw, "<u8").reshape(-1, 2)
+
+
+def node_of(pairs: np.ndarray) -> int:
+    """A signed 64-bit number of a shingle set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(pairs.tobytes())).view(np.int64))
+
+
+def fingerprint_of(pairs: np.ndarray) -> bytes:
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(pairs), 255):  # so that sums of a block fit a byte
         a, b = pairs[i : i + 255, :1], pairs[i : i + 255, 1:]
@@ -63,6 +85,65 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
     return np.packbits(2 * counts > len(pairs), bitorder="little").tobytes()
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
+    """512 bits over the text's distinct shingles. A text without words has all bits 0."""
+    return fingerprint_of(shingles(text, shingle))
+
+
+def prefix(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the tokens in the order of all shingles, as many as a set of the similarity can't avoid altogether."""
+    if not len(tokens):
+        return tokens
+    rank = np.zeros(len(tokens), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        rank = np.where(common[at] == tokens, counts[at], 0)
+    return tokens[np.lexsort((tokens, rank))][: len(tokens) - math.ceil(similarity * len(tokens) - TINY) + 1]
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens' numbers by their low bits, at least two places a token. Two sets differ in no fewer tokens than
+    their parities do, whatever the number of places, so what a comparison of sketches leaves out can't be alike."""
+    places = max(64, 1 << (2 * len(tokens)).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Tokens that two sets differ in, at least; the longer sketch is folded to the places of the shorter one."""
+    x, y = (np.frombuffer(v, np.uint8).reshape(-1, min(len(a), len(b))) for v in (a, b))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x, axis=0) ^ np.bitwise_xor.reduce(y, axis=0)).sum(dtype=np.int64))
+
+
+def least_common(sizes, similarity: float):
+    """Tokens that two sets of the similarity have in common, at least, by the sum of their sizes."""
+    return np.ceil(sizes * (similarity / (1 + similarity)) - TINY)
+
+
+def meeting_pairs(token: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes with a token in common but not the label, which can have the similarity if the token is the first one
+    that they share (a pair passes where it is, or nowhere). Rows are sorted by token, then label."""
+    n = len(token)
+    if not n:
+        return
+    new_token = token[1:] != token[:-1]
+    token_ends = np.append(np.flatnonzero(new_token) + 1, n)
+    group_ends = np.append(np.flatnonzero(new_token | (label[1:] != label[:-1])) + 1, n)
+    end = np.repeat(token_ends, np.diff(token_ends, prepend=0))
+    j = np.repeat(group_ends, np.diff(group_ends, prepend=0))
+    i = np.flatnonzero(j < end)
+    j = j[i]
+    while len(i):
+        need = least_common(size[i] + size[j], similarity)
+        fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - TINY
+        fits &= np.minimum(size[i] - at[i], size[j] - at[j]) >= need
+        if fits.any():
+            a, b = node[i[fits]], node[j[fits]]
+            yield np.maximum(a, b), np.minimum(a, b)
+        j = j + 1
+        live = j < end[i]
+        i, j = i[live], j[live]
+
+
 def _choices(n: int, similarity: float) -> np.ndarray:
     """Bit numbers by choice: enough choices for RECALL at the similarity, wide enough for SHARD fingerprints a shard."""
     width = max(12, math.ceil(math.log2(max(1, n) / SHARD)))
@@ -127,8 +208,9 @@ def near_links(prints: DataFrame, similarity: float) -> DataFrame:
 
     shards = prints.select("node", "fp").mapInArrow(deal, "choice int, bits long, node long, fp binary")
     sizes = prints.select("node", "fp").mapInArrow(deal, "choice int, bits long, node long, fp binary").groupBy("choice", "bits").agg(F.count("*").alias("n"))
+    # at most a SLICE-th of the fingerprints for each choice
     large = sizes.where(F.col("n") > SLICE).withColumn("tasks", F.ceil(F.col("n") / SLICE).cast("int")).drop("n")
-    dealt = shards.join(large, ["choice", "bits"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
+    dealt = shards.join(F.broadcast(large), ["choice", "bits"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"))
     dealt = dealt.select("choice", "bits", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "own", "node", "fp")
     order = ["choice", "bits", "task"]
@@ -162,24 +244,124 @@ def near_links(prints: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def common_shingles(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and their counts, from one text of SAMPLED. At most 2**COMMON_BITS: each has that share of what is counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "_text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t.as_py(), shingle)[:, 0] for t in b.column("_text")]).view(np.int64))], ["token"])
+
+    tokens = source.where(F.pmod("_mark", F.lit(SAMPLED)) == 0).select("_text").mapInArrow(run, "token long")
+    counts = staged(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "wide-common")
+    least = -(-(counts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0) // (1 << COMMON_BITS))
+    got = counts.where(F.col("n") >= least).toArrow()
+    token, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefix_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
+    """dealt: token, label, node (long), size, at (int). Pairs u > v that meet at a token; see meeting_pairs."""
+    names = ["token", "label", "node", "size", "at"]
+
+    def found(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for u, v in meeting_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)), similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of the last token, which may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [b.column(c).to_numpy() for c in names]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut or (held and held[-1][0][-1] != rows[0][0]):
+                yield from found([*held, [x[:cut] for x in rows]])
+                held = []
+            held.append([x[cut:] for x in rows])
+        if held:
+            yield from found(held)
+
+    return dealt.select(*names).repartition("token").sortWithinPartitions("token", "label").mapInArrow(run, "u long, v long")
+
+
+def verified(source: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (u, v: nodes) whose shingle sets have the similarity. Sketches leave out most others; texts of the nodes that
+    remain are read again, by a filter of fixed size over their marks, and only their sets are shuffled."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column("m").to_numpy() + b.column("n").to_numpy()
+            differ = np.fromiter((least_difference(x.as_py(), y.as_py()) for x, y in zip(b.column("a"), b.column("b"), strict=True)), np.int64, b.num_rows)
+            yield b.select(["u", "v"]).filter(pa.array(differ <= sizes - 2 * least_common(sizes, similarity)))
+
+    side = lambda node, size, held: prints.select(F.col("node").alias(node), F.col("size").alias(size), F.col("sketch").alias(held))
+    sketched = pairs.distinct().join(side("u", "m", "a"), "u").join(side("v", "n", "b"), "v").select("u", "v", "m", "n", "a", "b")
+    pairs = staged(sketched.mapInArrow(possible, "u long, v long"), "wide-pairs")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    place = F.pmod(F.col("first._mark"), F.lit(1 << FILTER_BITS)) + 1
+    blocks = prints.join(nodes, "node", "left_semi").groupBy(F.bitmap_bucket_number(place).alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    mask = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    for r in blocks:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        mask[(r["i"] - 1) * len(part) : r["i"] * len(part)] = part
+    wanted = source.sparkSession.sparkContext.broadcast(mask)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for whole in batches:
+            x = whole.column("_mark").to_numpy() & ((1 << FILTER_BITS) - 1)
+            for b in slices(whole.filter(pa.array((bits[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))), "_text"):
+                own = [shingles(t.as_py(), shingle) for t in b.column("_text")]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()), pa.array([np.sort(s[:, 0]).tobytes() for s in own], pa.binary())], ["node", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alike = []
+            for x, y in zip(b.column("a"), b.column("b"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= similarity * (len(x) + len(y) - common) - TINY)
+            yield b.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    sets = source.select("_mark", "_text").mapInArrow(read, "node long, own binary").groupBy("node").agg(F.first("own").alias("own"))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
+    with small_batches(source.sparkSession):
+        return staged(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "wide-verified")
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """docs (its columns and no others) with one row of each group of texts linked over near-duplicates: the one with the
-    least key (a null key is the last). Equal rows (key and text) count as one. Null and empty texts are one group; a text
-    of fewer words than a shingle has equals only texts with the same words. Texts are shuffled once, to leave the rest out.
+    least key (a null key is the last). Links are all pairs whose sets of shingles have the Jaccard similarity or more, and
+    no others. Equal rows (key and text) count as one. Null and empty texts are one group; a text of fewer words than a
+    shingle has equals only texts with the same words. Texts are shuffled once, to leave the rest out.
     """
     columns = docs.columns
     mark = F.xxhash64(F.col(key).isNull(), F.col(key), F.col(text).isNull(), F.col(text))
     source = docs.select(mark.alias("_mark"), F.col(key).alias("_key"), F.col(text).alias("_text"))
 
+    known = docs.sparkSession.sparkContext.broadcast(common_shingles(source, shingle))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = known.value
         for whole in batches:
             for b in slices(whole, "_text"):
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(t.as_py(), shingle) for t in b.column("_text")], pa.binary())], [*b.schema.names[:-1], "fp"])
+                own = [shingles(t.as_py(), shingle) for t in b.column("_text")]
+                found = (pa.array([node_of(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([fingerprint_of(s) for s in own], pa.binary()), pa.array([sketch(s[:, 1]) for s in own], pa.binary()))
+                firsts = pa.array([prefix(s[:, 0], common, counts, similarity).view(np.int64) for s in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found, firsts], [*b.schema.names[:-1], "node", "size", "fp", "sketch", "prefix"])
 
-    rows = staged(source.mapInArrow(run, f"_mark long, _key {docs.schema[key].dataType.simpleString()}, fp binary").withColumn("node", F.xxhash64("fp")), "wide-rows")
+    rows = staged(source.mapInArrow(run, f"_mark long, _key {docs.schema[key].dataType.simpleString()}, node long, size long, fp binary, sketch binary, prefix array<long>"), "wide-rows")
     first = F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_mark"))
-    prints = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(first).alias("first")), "wide-prints")
-    found = staged(roots(near_links(prints, similarity)), "wide-roots")
+    prints = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min(first).alias("first")), "wide-prints")
+    grouped = staged(roots(near_links(prints, similarity)), "wide-groups").where("node <> root")
+    near = verified(source, prints, grouped.select(F.col("node").alias("u"), F.col("root").alias("v")), similarity, shingle)
+    labelled = prints.join(near.withColumnRenamed("u", "node"), "node", "left").select(F.col("first._mark").alias("_mark"), F.coalesce("v", "node").alias("label"))
+    tokens = rows.select("_mark", "node", "size", "prefix").join(labelled, "_mark")
+    tokens = tokens.select(F.posexplode("prefix").alias("at", "token"), "label", "node", "size")
+    rest = verified(source, prints, prefix_pairs(tokens, similarity), similarity, shingle)
+    found = staged(roots(near.unionByName(rest)), "wide-roots")
     heads = prints.select("node", "first").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stays = heads.select(F.col("first._mark").alias("_mark")).distinct()
     marks = rows.groupBy("_mark").agg(F.count("*").alias("n")).join(stays.withColumn("stays", F.lit(True)), "_mark", "left")

@@ -390,3 +390,55 @@ def test_mixer_gives_a_distribution():
     assert abs((10.0 ** mixer.cost(some)).sum() - 1) < 1e-3
     whole = mixer.scores([b"the cat", b"", b"dog"])
     assert np.allclose(whole, [mixer.scores([t])[0] for t in (b"the cat", b"", b"dog")], atol=1e-4)
+
+
+def _five_word_sets(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _kept_by_hand(rows, similarity=0.8):
+    sets, parent = [_five_word_sets(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both * 5 >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    return [i for n, (i, _) in enumerate(rows) if find(n) == n]
+
+
+def test_near_duplicates_are_those_of_exact_jaccard(spark, docs):
+    """Pairs on both sides of 0.8, of few and of many shingles, and the test table, against all pairs by hand."""
+    rng = np.random.default_rng(12)
+    words = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    texts = []
+    for k in (4, 5, 6, 8, 13, 20, 28, 60, 450):  # shingles in the first text; one of the pair has `more` shingles of its own
+        for more in {1, round(k * 0.16), round(k * 0.2), k // 4, k // 4 + 1, round(k * 0.3)}:
+            for _ in range(4):
+                base = words(k + 4)
+                texts += [" ".join(base), " ".join(base + words(more))]
+        base, side = words(k + 4), max(1, k // 9)
+        texts += [" ".join(base + words(side)), " ".join(words(side) + base)]
+    rows = list(enumerate(texts))
+    want = _kept_by_hand(rows)
+    kept = simhash_wide.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 0.5 * len(rows) < len(want) < 0.9 * len(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    assert sorted(r.doc_id for r in simhash_wide.drop_near_duplicates(docs).collect()) == _kept_by_hand(rows)
+
+
+def test_sketches_leave_out_no_alike_sets():
+    rng = np.random.default_rng(13)
+    for n in (0, 1, 5, 40, 900):
+        for m in (n, n + 1, n + n // 5, 2 * n):
+            a = rng.integers(0, 2**63, max(n, m), dtype=np.uint64)
+            b = np.concatenate([a[: m - m // 10], rng.integers(0, 2**63, m // 10, dtype=np.uint64)])
+            differ = len(np.setxor1d(a[:n], b))
+            assert simhash_wide.least_difference(simhash_wide.sketch(a[:n]), simhash_wide.sketch(b)) <= differ
