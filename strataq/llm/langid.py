@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fitted sample: rows of a language, and UTF-8 bytes of a row that may enter a dictionary.
+#: Bounds of the fitted sample: rows of a language, and UTF-8 bytes that a row gives to a dictionary.
 SAMPLE_ROWS, SAMPLE_TEXT, MOST_LANGUAGES = 160, 4096, 512
 #: Bytes of text that are encoded at once: short enough that the dictionary, not the text's own past, decides.
 PIECE = 4096
@@ -17,15 +17,20 @@ LEVEL = 6
 UNKNOWN = "und"
 
 
+def piece_of(text: str) -> bytes:
+    """The lower-cased text's first SAMPLE_TEXT bytes, without a character that the cut would part."""
+    return text[:SAMPLE_TEXT].lower().encode()[:SAMPLE_TEXT].decode(errors="ignore").encode()
+
+
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """Raw-content dictionaries of lower-cased text by language, from a bounded sample of the rows where `train` holds.
 
-    Rows with null or empty text, null lang, or texts over SAMPLE_TEXT bytes don't enter the sample; of each language
-    the SAMPLE_ROWS rows with the least hash of their key do (ties: by text). Only the chosen rows' texts leave the executors.
+    Rows with null or empty text or null lang don't enter the sample; of each language the SAMPLE_ROWS rows with the least
+    hash of their key do (ties: by text), each with its first SAMPLE_TEXT bytes. Only those characters leave the executors.
     With no such row the result is empty. More than MOST_LANGUAGES distinct languages are refused with ValueError.
     """
     rows = docs.where(train).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    rows = rows.where(F.col("l").isNotNull() & F.octet_length("t").between(1, SAMPLE_TEXT)).withColumn("h", F.xxhash64("k", "t"))
+    rows = rows.where(F.col("l").isNotNull() & (F.octet_length("t") > 0)).withColumn("h", F.xxhash64("k", "t")).withColumn("t", F.substring("t", 1, SAMPLE_TEXT))
     counts = rows.groupBy("l").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
@@ -38,7 +43,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     texts: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r.l, r.h, r.t)):
         if len(own := texts.setdefault(r.l, [])) < SAMPLE_ROWS:
-            own.append(r.t.lower().encode())
+            own.append(piece_of(r.t))
     return {name: b"\n".join(parts) for name, parts in texts.items()}
 
 

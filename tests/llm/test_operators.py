@@ -442,3 +442,10 @@ def test_sketches_leave_out_no_alike_sets():
             b = np.concatenate([a[: m - m // 10], rng.integers(0, 2**63, m // 10, dtype=np.uint64)])
             differ = len(np.setxor1d(a[:n], b))
             assert simhash_wide.least_difference(simhash_wide.sketch(a[:n]), simhash_wide.sketch(b)) <= differ
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    texts = [("aa", "the water of the river runs to the sea é " * 200), ("bb", "der Fluss trägt sein Wasser in das Meer " * 200)] * 3
+    known = langid.fit(spark.createDataFrame([(i, t, name) for i, (name, t) in enumerate(texts)], "doc_id long, text string, lang string"), F.lit(True))
+    assert set(known) == {"aa", "bb"} and all(0 < len(x) <= 3 * (langid.SAMPLE_TEXT + 1) and x.decode() for x in known.values())
+    assert [langid.decide(t, langid._encoders(known))[0] for _, t in texts] == [name for name, _ in texts]
