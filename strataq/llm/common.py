@@ -2,33 +2,68 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only by a driver that is its own executor and names no shared folder, as in tests on one machine.
 LOCAL_SHARED = "file:///tmp/checkpoints/strataq"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; the session's spark.checkpoint.dir where it is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir. Where it is unset, a folder of
+    this machine under a local master, and ValueError on a cluster, whose machines would each write to a disk of their own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_SHARED
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_SWEPT: set[str] = set()
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    try:
+        _remove(spark, folder)
+    except Exception:  # the session has ended before the interpreter: nothing can be asked of it any more
+        return
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/strataq/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the application's own part of it, which goes when the driver's Python ends."""
+    folder = f"{shared_dir(spark)}/strataq/{spark.sparkContext.applicationId}"
+    if folder not in _SWEPT:
+        _SWEPT.add(folder)
+        atexit.register(_sweep, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: cuts lineage, and what follows survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes what staged() wrote for df; nothing that reads it may follow."""
+    if path := getattr(df, "_staged_at", None):
+        _remove(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +86,44 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         held += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def nested(keep: list[Column]) -> Column:
+    """Kept columns as one struct `_kept`, so that their names meet no others while an operator works."""
+    return F.struct(*(keep or [F.lit(None).cast("int").alias("_nothing")])).alias("_kept")
+
+
+def unnested(df: DataFrame, added: list[str]) -> DataFrame:
+    """The fields of `_kept`, then the added columns. A kept column with the name of an added one is left out."""
+    own = {a.lower() for a in added}
+    kept = [n for n in df.schema["_kept"].dataType.names if n.lower() not in own and n != "_nothing"]
+    return df.select(*(F.col("_kept").getField(n).alias(n) for n in kept), *(F.col(f"`{a}`") for a in added))
+
+
+def scanned(docs: DataFrame, keep: list[Column], text: str, schema: str, start: Callable[[], Callable[[pa.Array], list]], most: int = 8 << 20) -> DataFrame:
+    """`keep` columns and those of schema for every row, without a shuffle. start() runs once in a task; what it returns gets
+    the texts of a slice (see slices) and gives the added columns as Arrow arrays. For clashing names see unnested."""
+    base = docs.select(nested(keep), F.col(text).alias("_text"))
+    added = StructType.fromDDL(schema)
+    names = ["_kept", *added.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = start()
+        for whole in batches:
+            for b in slices(whole, "_text", most):
+                yield pa.RecordBatch.from_arrays([b.column(0), *look(b.column(1))], names)
+
+    return unnested(base.mapInArrow(run, StructType([base.schema["_kept"], *added])), added.names)
+
+
+def attached(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows with the columns of facts, which has one row for each key of rows and, in `count`, its number of rows.
+
+    Keys of very many rows meet their facts in a broadcast, the others in a join by key: at most 2**16 keys can have over a
+    2**15th of all rows, so the broadcast has a bound, and so has what a key brings to a task of the join.
+    """
+    total = facts.agg(F.sum(count).alias("n")).collect()[0]["n"] or 0
+    most = max(1024, 2 * total >> 16)
+    hot = F.broadcast(facts.where(F.col(count) > most))
+    cold = facts.where(F.col(count) <= most)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
