@@ -116,14 +116,14 @@ def scanned(docs: DataFrame, keep: list[Column], text: str, schema: str, start:
     return unnested(base.mapInArrow(run, StructType([base.schema["_kept"], *added])), added.names)
 
 
-def attached(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """rows with the columns of facts, which has one row for each key of rows and, in `count`, its number of rows.
+def attached(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows with the columns of facts, which has one row for each key and, in `count`, the number of rows of it; rows without
+    facts go. total: how many rows there are, or more.
 
-    Keys of very many rows meet their facts in a broadcast, the others in a join by key: at most 2**16 keys can have over a
+    Keys of very many rows meet their facts in a broadcast, the others in a join by key: at most 2**15 keys can have over a
     2**15th of all rows, so the broadcast has a bound, and so has what a key brings to a task of the join.
     """
-    total = facts.agg(F.sum(count).alias("n")).collect()[0]["n"] or 0
-    most = max(1024, 2 * total >> 16)
+    most = max(1024, total >> 15)
     hot = F.broadcast(facts.where(F.col(count) > most))
     cold = facts.where(F.col(count) <= most)
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
