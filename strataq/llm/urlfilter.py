@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataq.llm.common import nested, staged, unnested
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,7 +34,8 @@ def canonical(host: Column) -> Column:
 
 
 def judge(pages: DataFrame, rules: DataFrame, keep: list[Column], url: str = "url", default: str = "allow", salts: int | None = None) -> DataFrame:
-    """`keep` columns, host, path, rule (host and path of the rule; null without one) and verdict for every page row.
+    """`keep` columns, host, path, rule (host and path of the rule; null without one) and verdict for every page row. A kept
+    column with one of these names is left out. No pages give no rows; without rules every url has the default.
 
     rules: host, path, verdict. A rule fits its host and all subdomains if the url's path starts with the rule's; of those
     that fit, the longest (host and path together) wins, of equally long ones the one with the longer host, and of several
@@ -45,8 +48,9 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[Column], url: str = "ur
     spark = pages.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url))
-    kept = pages.select(F.struct(*keep).alias("_kept"), host.alias("_host"), path.alias("_path"))
-    urls = kept.withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", (F.col("_row") % salts).cast("int"))
+    kept = pages.select(nested(keep), host.alias("_host"), path.alias("_path"))
+    # row numbers are written down: counted anew after a lost executor they might name other rows
+    urls = staged(kept.withColumn("_row", F.monotonically_increasing_id()), "urls").withColumn("_salt", (F.col("_row") % salts).cast("int"))
     urls = urls.withColumn("_key", canonical(F.col("_host")))
 
     known = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
@@ -73,8 +77,8 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[Column], url: str = "ur
     shorter = paths.select("key", "path", F.explode(F.expr("filter(sizes, n -> n <= length(path))")).alias("n"))
     shorter = shorter.select("key", "path", F.expr("left(path, n)").alias("outer"))
     entry = F.struct(F.col("outer"), F.col("verdict"), F.col("host"))
-    nested = shorter.join(known.select("key", F.col("path").alias("outer"), "verdict", "host"), ["key", "outer"]).groupBy("key", "path").agg(F.collect_list(entry).alias("entries"))
-    starts = nested.select(F.col("key").alias("_at"), F.col("path").alias("_path"), "entries", every.alias("_salt"))
+    stacked = shorter.join(known.select("key", F.col("path").alias("outer"), "verdict", "host"), ["key", "outer"]).groupBy("key", "path").agg(F.collect_list(entry).alias("entries"))
+    starts = stacked.select(F.col("key").alias("_at"), F.col("path").alias("_path"), "entries", every.alias("_salt"))
     asked = at_urls.where(F.size("_active") > 0).select("_row", "_salt", "_path", F.explode("_active").alias("_at"))
     along = Window.partitionBy("_salt", "_at").orderBy("_path", "_is_url").rowsBetween(Window.unboundedPreceding, 0)
     both = asked.withColumn("_is_url", F.lit(1)).unionByName(starts.withColumn("_is_url", F.lit(0)), allowMissingColumns=True)
@@ -84,4 +88,5 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[Column], url: str = "ur
     best = hit.select("_row", longest.alias("_best")).where("_best is not null").groupBy("_row").agg(F.max("_best").alias("_best"))
 
     out = at_urls.join(best, "_row", "left")
-    return out.select("_kept.*", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
+    out = out.select("_kept", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
+    return unnested(out, ["host", "path", "rule", "verdict"])
