@@ -2,14 +2,16 @@
 
 The packing depends only on how many groups have each size, so the driver packs size classes, of which there are at most
 CLASSES whatever the data: sizes below 4096 are exact, larger ones are rounded up to 12 significant bits. Classes enter from
-the largest; a run of equal groups fills the tightest bin that still takes one (found in a balanced order of remaining
+the largest; a run of equal groups fills the tightest bin that still takes one (found in a balanced tree of remaining
 capacities) until it takes no more. The plan is a list of rank ranges for each class, and groups find their shard by their
-rank in the class, which is counted in buckets so that no class is ever gathered into one task.
+rank in the class, which is counted in buckets so that no class is ever gathered into one task. The driver holds the plan: a
+piece for each class and bin that meet, with given `shards` some 4096 + 40 * 4096 of them at most, with given `capacity` as many
+as classes and bins; more than MOST_BINS bins are refused.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,9 @@ from strataq.llm.common import staged
 EXACT, BITS = 4096, 12
 #: Rows of a bucket, about: ranks and slots are counted in a bucket and offset by the counts of the buckets before it.
 BUCKET_ROWS = 50_000
+MOST_BINS = 1 << 22
+#: Ranks of a class that find their piece by one key of the join.
+RANKS = 1024
 
 
 def size_class(size: Column) -> Column:
@@ -38,28 +43,76 @@ class Plan:
     capacity: int
 
 
+class Tree:
+    """A set of keys as a treap: a binary search tree that random priorities keep balanced. A node is [key, priority, left, right]."""
+
+    def __init__(self):
+        self.root, self.draw = None, random.Random(5).random
+
+    @staticmethod
+    def _split(node: list | None, key: tuple) -> tuple[list | None, list | None]:
+        """The tree's keys below `key`, and the others."""
+        if node is None:
+            return None, None
+        if node[0] < key:
+            node[3], high = Tree._split(node[3], key)
+            return node, high
+        low, node[2] = Tree._split(node[2], key)
+        return low, node
+
+    @staticmethod
+    def _merge(low: list | None, high: list | None) -> list | None:
+        if low is None or high is None:
+            return low or high
+        if low[1] > high[1]:
+            low[3] = Tree._merge(low[3], high)
+            return low
+        high[2] = Tree._merge(low, high[2])
+        return high
+
+    def add(self, key: tuple) -> None:
+        low, high = self._split(self.root, key)
+        self.root = self._merge(self._merge(low, [key, self.draw(), None, None]), high)
+
+    def pop_from(self, key: tuple) -> tuple | None:
+        """Removes and returns the least key that isn't below `key`; None if there is none."""
+        low, high = self._split(self.root, key)
+        if high is None:
+            self.root = low
+            return None
+        above, node = None, high
+        while node[2] is not None:
+            above, node = node, node[2]
+        if above is None:
+            high = node[3]
+        else:
+            above[2] = node[3]
+        self.root = self._merge(low, high)
+        return node[0]
+
+
 def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int, first_bin: int = 0) -> Plan:
-    """Packs (size, count) classes into bins of the capacity; a group over the capacity has a bin of its own.
+    """Packs (size, count) classes into bins of the capacity; a group over the capacity has a bin of its own. No classes, or
+    counts of 0, give no bin.
 
-    Bins are kept in a sorted order of (remaining capacity, bin): the tightest bin that takes a size is one search away.
+    Bins are kept in a tree by (remaining capacity, bin): the tightest bin that takes a size is one search away.
     """
-    bins: list[tuple[int, int]] = []
+    bins = Tree()
     loads: list[int] = []
     pieces = []
     for size, count in sorted(classes, reverse=True):
         done = 0
         while done < count:
-            i = bisect_left(bins, (size, -1))
-            if i < len(bins):
-                left, b = bins.pop(i)
-            else:
-                left, b = max(capacity, size), len(loads)
+            left, b = bins.pop_from((size, -1)) or (max(capacity, size), len(loads))
+            if b == len(loads):
+                if b >= MOST_BINS:
+                    raise ValueError(f"over {MOST_BINS} bins of {capacity}")
                 loads.append(0)
             take = min(count - done, left // size)
             pieces.append((size, done, done + take, first_bin + b))
             loads[b] += take * size
             done += take
-            insort(bins, (left - take * size, b))
+            bins.add((left - take * size, b))
     return Plan(pieces, loads, capacity)
 
 
@@ -122,13 +175,11 @@ def pack(rows: DataFrame, group: str, size: str, order: list[Column], shards: in
     counts = groups.groupBy("_class").agg(F.count("*").alias("n"), F.sum("_rows").alias("rows")).collect()  # bounded: see above
     classes = [(r["_class"], r["n"]) for r in counts]
     plan = pack_into(classes, shards) if shards is not None else best_fit_decreasing(classes, capacity)
-    by_class: dict[int, list] = {}
-    for c, a, b, k in plan.pieces:
-        by_class.setdefault(c, []).append((a, b, k))
-    pieces = rows.sparkSession.createDataFrame(sorted(by_class.items()), "_class long, _pieces array<struct<a:long,b:long,k:int>>")
+    pieces = rows.sparkSession.createDataFrame(plan.pieces, "_class long, _from long, _to long, shard int")
+    pieces = pieces.withColumn("_ranks", F.explode(F.sequence(F.expr(f"_from div {RANKS}"), F.expr(f"(_to - 1) div {RANKS}"))))
     buckets = lambda n: max(1, -(-n // BUCKET_ROWS))
-    placed = ranked(groups, "_class", [F.col(group)], "_rank", buckets(sum(r["n"] for r in counts))).join(F.broadcast(pieces), "_class")
-    shard = F.expr("filter(_pieces, p -> p.a <= _rank AND _rank < p.b)[0].k")
+    placed = ranked(groups, "_class", [F.col(group)], "_rank", buckets(sum(r["n"] for r in counts))).withColumn("_ranks", F.expr(f"_rank div {RANKS}"))
+    placed = placed.join(pieces, ["_class", "_ranks"]).where("_from <= _rank AND _rank < _to")
     # a group of many rows meets the one row of its group: the join's skewed side can be split
-    found = rows.join(placed.select(group, shard.alias("shard")), group)
+    found = rows.join(placed.select(group, "shard"), group)
     return ranked(found, "shard", order, "slot", buckets(sum(r["rows"] for r in counts)))
