@@ -9,7 +9,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,12 +18,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import slices
+from strataq.llm.common import scanned
 
 #: Widths of the buckets; a longer pretoken is merged by a heap over a linked list, with the same result.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128)
-#: Pretokens that a worker remembers before it forgets all, and rows of a matrix.
-REMEMBERED, ROWS = 150_000, 20_000
+#: Pretokens, and bytes of them and their ids, that a worker remembers before it forgets all, and rows of a matrix.
+REMEMBERED, REMEMBERED_BYTES, ROWS = 150_000, 32 << 20, 20_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -80,6 +80,7 @@ class Encoder:
         keys = (np.array(a, np.int64) << 32) | np.array(b, np.int64)
         self._table(keys, np.array(c, np.int32))
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing; `probes` is the longest chain."""
@@ -151,24 +152,32 @@ class Encoder:
         return done
 
     def merge_long(self, raw: bytes) -> np.ndarray:
-        """One long pretoken, by a heap of (rank, place) over a linked list: n log n instead of n rounds over n parts."""
-        ids = self.byte_id[np.frombuffer(raw, np.uint8)].tolist()
-        n = len(ids)
-        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), self._pair
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair(ids[i], ids[i + 1])) is not None]
+        """One long pretoken, by a heap over a linked list: n log n instead of n rounds over n parts. An entry is a rank with the
+        pair's place below it; it holds while the place has that rank. Some hundred bytes are held for each of the pretoken's."""
+        ids = array("i", self.byte_id[np.frombuffer(raw, np.uint8)].tolist())
+        n, pair = len(ids), self._pair
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        first = self.pair_ranks(np.frombuffer(ids, np.int32)[:-1].copy(), np.frombuffer(ids, np.int32)[1:].copy())
+        now = array("i", np.where(first == NONE, -1, first).astype(np.int32).tolist() + [-1])
+        heap = [now[i] << 40 | i for i in range(n) if now[i] >= 0]
         heapq.heapify(heap)
         while heap:
-            r, i, a, b = heapq.heappop(heap)
-            k = after[i]
-            if ids[i] != a or k >= n or ids[k] != b:
+            entry = heapq.heappop(heap)
+            r, i = entry >> 40, entry & (1 << 40) - 1
+            if now[i] != r:
                 continue
-            ids[i], ids[k] = r, -1
+            k = after[i]
+            ids[i], ids[k], now[k] = r, -1, -1
             after[i] = after[k]
             if after[k] < n:
                 before[after[k]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n and (x := pair(ids[left], ids[right])) is not None:
-                    heapq.heappush(heap, (x, left, ids[left], ids[right]))
+                if left < 0:
+                    continue
+                x = pair(ids[left], ids[right]) if right < n else None
+                now[left] = -1 if x is None else x
+                if x is not None:
+                    heapq.heappush(heap, x << 40 | left)
         return np.array([x for x in ids if x >= 0], np.int32)
 
     def _pair(self, a: int, b: int) -> int | None:
@@ -202,11 +211,13 @@ class Encoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers."""
         split = [(self.narrow if len(t.encode("utf-16-le")) == 2 * len(t) else self.pattern).findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
+            self.held = 0
         fresh = set().union(*split).difference(self.known) if split else set()
         if fresh:
             self.learn(list(fresh))
+            self.held += sum(len(p) + len(self.known[p]) for p in fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
@@ -229,21 +240,20 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[Column], text: str = "text") -> DataFrame:
     """`keep` columns and, for every row's whole text, n_tokens, ids (binary: little-endian unsigned 32-bit) and decoded
-    (binary, decoded from the ids). A null text is the empty text: no ids, no bytes. One pass without a shuffle."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    fields = kept.schema.fields[:-1]
+    (binary, decoded from the ids). A null text is the empty text: no ids, no bytes. One pass without a shuffle. A kept column
+    with one of these names is left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         coder = encoder(path, pattern)
-        for whole in batches:
-            for b in slices(whole, "_text", 2 << 20):
-                ids = coder.encode_batch([t or "" for t in b.column("_text").to_pylist()])
-                decoded = [coder.decode(np.frombuffer(x, "<u4")) for x in ids]
-                columns = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*b.schema.names[:-1], "n_tokens", "ids", "decoded"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long, ids binary, decoded binary"])
-    return kept.mapInArrow(run, schema)
+
+        def look(texts: pa.Array) -> list:
+            ids = coder.encode_batch([t or "" for t in texts.to_pylist()])
+            decoded = [coder.decode(np.frombuffer(x, "<u4")) for x in ids]
+            return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+
+        return look
+
+    return scanned(docs, keep, text, "n_tokens long, ids binary, decoded binary", start, 2 << 20)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
