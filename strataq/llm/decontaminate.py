@@ -11,12 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from strataq.llm.common import slices, staged
+from strataq.llm.common import nested, slices, staged, unnested
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast set. A larger benchmark is dealt over several sets, each scanned in a pass of its own.
 SET_BYTES = 16 << 20
+#: Bytes that a built set may take in the driver and in each worker: an item far beyond SET_BYTES is refused.
+SET_MEMORY = 1 << 30
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -28,53 +31,76 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Grams:
-    """Windows of the items: ids for their words, and by window length the hashes with the windows behind them."""
+    """Windows of the items, in arrays: all items' words as one stream of ids, and for each length of windows the distinct windows
+    by hash, each with a place of it in the stream and its items. Some 30 bytes for each word of the benchmark, and its
+    distinct words."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            ids = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if ids else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
+        self.names = [item for item, _ in items]
+        streams = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)], np.uint32) for _, text in items]
+        self.stream = np.concatenate([*streams, np.zeros(0, np.uint32)])
+        sizes = np.array([len(s) for s in streams], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        lengths = np.minimum(sizes, window)
         self.by_length = {}
-        for n, grams in found.items():
-            keys = self.hashes(np.array(list(grams), np.uint64).reshape(-1), n)[::n]
-            self.by_length[n] = (np.unique(keys), grams)
-
-    @staticmethod
-    def hashes(ids: np.ndarray, n: int) -> np.ndarray:
-        """A hash of each window of n ids."""
-        out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-        for k in range(n):
-            out = (out ^ ids[k : k + len(out)]) * _MIX
-            out ^= out >> np.uint64(29)
-        return out
+        for n in sorted(set(lengths[lengths > 0].tolist())):
+            mine = np.flatnonzero(lengths == n)
+            counts = sizes[mine] - n + 1
+            owner = np.repeat(mine, counts)
+            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts[mine], counts)
+            keys = self.hashes(place, n)
+            order = np.lexsort((place, keys))
+            keys, place, owner = keys[order], place[order], owner[order]
+            same = keys[1:] == keys[:-1]
+            for k in range(n):  # equal hashes of unequal windows begin a window of their own
+                same &= self.stream[place[1:] + k] == self.stream[place[:-1] + k]
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            self.by_length[n] = (keys[first], place[first], np.append(first, len(keys)), owner)
+
+    def hashes(self, place: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the windows of n words at places of the stream."""
+        return _hashes(self.stream, place, n)
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes held, about: arrays, and words with their place in a dictionary."""
+        return self.stream.nbytes + sum(x.nbytes for found in self.by_length.values() for x in found) + sum(len(w) + 130 for w in self.ids)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged hit ranges [start, end) of words, and the items of which a window occurs."""
         get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        known = ids != 0
-        spans, items = [], set()
-        for n, (keys, grams) in self.by_length.items():
+        ids = np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
+        run = np.concatenate([[0], np.cumsum(ids != 0)])
+        spans, found = [], set()
+        for n, (keys, place, bounds, owner) in self.by_length.items():
             if len(ids) < n:
                 continue
-            run = np.concatenate([[0], np.cumsum(known)])
             whole = np.flatnonzero(run[n:] - run[:-n] == n)  # windows of benchmark words only
             if not len(whole):
                 continue
-            h = np.zeros(len(whole), np.uint64)
-            for k in range(n):
-                h = (h ^ ids[whole + k]) * _MIX
-                h ^= h >> np.uint64(29)
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for start in whole[keys[at] == h].tolist():
-                if (owners := grams.get(tuple(ids[start : start + n].tolist()))) is not None:  # verified
-                    spans.append((start, start + n))
-                    items |= owners
-        return merged(spans), items
+            h = _hashes(ids, whole, n)
+            at = np.searchsorted(keys, h)
+            while len(at):  # verified; windows of one hash stand beside each other
+                live = at < len(keys)
+                live[live] = keys[at[live]] == h[live]
+                whole, h, at = whole[live], h[live], at[live]
+                same = np.ones(len(at), bool)
+                for k in range(n):
+                    same &= ids[whole + k] == self.stream[place[at] + k]
+                spans += [(s, s + n) for s in whole[same].tolist()]
+                for g in set(at[same].tolist()):
+                    found.update(owner[bounds[g] : bounds[g + 1]].tolist())
+                at = at + 1
+        return merged(spans), {self.names[i] for i in found}
+
+
+def _hashes(ids: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(len(place), np.uint64)
+    for k in range(n):
+        out = (out ^ ids[place + k]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -116,13 +142,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[Column], text: str =
     A window is `window` consecutive words of an item; a shorter item is one window. Null texts have no words; items without
     words have no window; null item ids stand behind windows but aren't listed. Documents aren't shuffled while the benchmark
     fits one set of SET_BYTES. Beyond it each set is scanned in its own pass over all documents, and a document's ranges are
-    merged: a stated query set against all rows, in blocks.
+    merged: a stated query set against all rows, in blocks. Repeated rows are judged each by itself; an empty benchmark hits
+    nothing. A kept column with the name of an added one is left out.
     """
-    base = docs.select(*keep, F.col(text).alias("_text"))
+    base = docs.select(nested(keep), F.col(text).alias("_text"))
     sets = _sets(benchmark, item, item_text)
+    added = [*["cleaned"] * bool(remove), "n_words", "n_hit", "n_items", "items"]
     if len(sets) == 1:
-        out = _pass(base, sets[0], window, remove)
-        return out.drop("_spans")
+        return unnested(_pass(base, sets[0], window, remove), added)
     base = staged(base.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
     parts = [_pass(base, one, window, None).select("_row", "n_words", "_spans", "items") for one in sets]
     every = parts[0]
@@ -131,23 +158,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[Column], text: str =
     # one row of a document from each set: as many as there are sets
     whole = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = base.join(whole, "_row").drop("_row")
-    fields = joined.schema.fields
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for b in slices(whole_batch, "_text"):
                 spans = [merged([(x["a"], x["b"]) for x in s]) for s in b.column("_spans").to_pylist()]
-                yield _finished(b, b.schema.names[: len(fields) - 4], spans, b.column("n_words").to_pylist(), b.column("items").to_pylist(), remove)
+                yield _finished(b, ["_kept"], spans, b.column("n_words").to_pylist(), b.column("items").to_pylist(), remove)
 
-    return joined.mapInArrow(finish, _schema(fields[: len(fields) - 4], remove)).drop("_spans")
+    return unnested(joined.mapInArrow(finish, _schema([joined.schema["_kept"]], remove)), added)
 
 
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _schema(kept: list, remove: str | None) -> str:
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return ", ".join([*names, *["cleaned string"] * bool(remove), "n_words long, n_hit long, n_items long, items array<string>, _spans array<struct<a:bigint,b:bigint>>"])
+def _schema(kept: list, remove: str | None) -> StructType:
+    added = ", ".join([*["cleaned string"] * bool(remove), "n_words long, n_hit long, n_items long, items array<string>, _spans array<struct<a:bigint,b:bigint>>"])
+    return StructType([*kept, *StructType.fromDDL(added)])
 
 
 def _finished(b: pa.RecordBatch, kept: list[str], spans: list, n_words: list, items: list, remove: str | None) -> pa.RecordBatch:
@@ -164,6 +190,8 @@ def _finished(b: pa.RecordBatch, kept: list[str], spans: list, n_words: list, it
 
 def _pass(base: DataFrame, items: DataFrame, window: int, remove: str | None) -> DataFrame:
     grams = Grams([(r["item"], r["text"]) for r in items.collect()], window)  # at most SET_BYTES of text
+    if grams.nbytes > SET_MEMORY:
+        raise ValueError(f"a set of benchmark windows takes {grams.nbytes} bytes")
     known = base.sparkSession.sparkContext.broadcast(grams)
     kept = [f for f in base.schema.fields if f.name != "_text"]
     names = [f.name for f in kept]
