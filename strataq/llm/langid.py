@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataq.llm.common import scanned
+
 #: Bounds of the fitted sample: rows of a language, and UTF-8 bytes that a row gives to a dictionary.
 SAMPLE_ROWS, SAMPLE_TEXT, MOST_LANGUAGES = 160, 4096, 512
 #: Bytes of text that are encoded at once: short enough that the dictionary, not the text's own past, decides.
@@ -79,19 +79,19 @@ def decide(text: str | None, encoders: list, margin: float = 0.0) -> tuple[str,
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[Column], text: str = "text", margin: float = 0.0) -> DataFrame:
-    """`keep` columns, lang_pred and score for every row; whole texts, one pass, no shuffle.
+    """`keep` columns (but any called lang_pred or score), lang_pred and score for every row; whole texts, one pass, no shuffle.
 
     The dictionaries have at most SAMPLE_ROWS * SAMPLE_TEXT bytes each and go out with the task's closure by broadcast.
     """
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    fields = kept.schema.fields[:-1]
     known = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         encoders = _encoders(known.value)
-        for b in batches:
-            found = [decide(t.as_py(), encoders, margin) for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
-    return kept.mapInArrow(run, schema)
+        def look(texts: pa.Array) -> list:
+            found = [decide(t.as_py(), encoders, margin) for t in texts]
+            return [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+
+        return look
+
+    return scanned(docs, keep, text, "lang_pred string, score double", start)

@@ -20,8 +20,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from strataq.llm.common import new_path, slices, staged
+from strataq.llm.common import nested, new_path, slices, staged, unnested
 
 WIDTH, LEVEL = 64, 6
 #: Bytes after which a task begins another shard; it also forgets then which digests it has stored.
@@ -121,11 +122,12 @@ def store(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
     SHA-256, lowercase hex), shard, offset and length, staged in the shared folder beside the shards.
 
     Within a shard equal payloads are stored once, so a group of copies costs a copy for each shard at most; no text is
-    shuffled. The shards stay as long as the rows that refer to them.
+    shuffled. The shards stay as long as the rows that refer to them, and go with the application's folder. A kept column with
+    the name of an added one is left out.
     """
     folder = new_path(docs.sparkSession, "media")
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    fields = kept.schema.fields[:-1]
+    kept = docs.select(nested(keep), F.col(text).alias("_text"))
+    added = StructType.fromDDL("n_bytes long, digest string, shard string, offset long, length long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(folder)
@@ -138,11 +140,24 @@ def store(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
                     digest = hashlib.sha256(payload).hexdigest()
                     rows.append((len(raw), digest, *writer.put(digest, lambda p=payload: encode(p))))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*b.schema.names[:-1], "n_bytes", "digest", "shard", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([b.column("_kept"), *columns], ["_kept", *added.names])
         writer.close()
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, digest string, shard string, offset long, length long"])
-    return staged(kept.mapInArrow(run, schema), "media-rows")
+    return staged(unnested(kept.mapInArrow(run, StructType([kept.schema["_kept"], *added])), added.names), "media-rows")
+
+
+def sweep(rows: DataFrame) -> int:
+    """Deletes shards of the folder of `rows` (from store()) that no row refers to: what lost attempts of tasks have left. Returns
+    how many. The driver holds one name for each shard."""
+    used = {r["shard"] for r in rows.select("shard").distinct().toLocalIterator()}
+    gone = 0
+    for folder in {s.rpartition("/")[0] for s in used}:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for info in fs.get_file_info(pafs.FileSelector(root)):
+            if info.is_file and f"{folder}/{info.base_name}" not in used:
+                fs.delete_file(info.path)
+                gone += 1
+    return gone
 
 
 class _Reader:
@@ -162,8 +177,8 @@ def _read_rows(rows: DataFrame, names: str, look) -> DataFrame:
     """rows with what `look(read, row)` finds; tasks take neighbouring ranges of a shard, about READ_BYTES each."""
     total = rows.agg(F.sum("length").alias("n")).collect()[0]["n"] or 0
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    rows = rows.select(nested([F.col(f"`{c}`") for c in rows.columns]), "shard", "offset", "length", "digest")
     dealt = rows.repartition(tasks, "shard", F.floor(F.col("offset") / (READ_BYTES // 8))).sortWithinPartitions("shard", "offset")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), names])
     added, kinds = zip(*(n.split() for n in names.split(", ")), strict=True)
     arrow = [pa.string() if k == "string" else pa.int64() for k in kinds]
 
@@ -176,9 +191,9 @@ def _read_rows(rows: DataFrame, names: str, look) -> DataFrame:
                     last, found = place, look(reader.read, *place)
                 out.append(found)
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)] if out else [pa.array([], t) for t in arrow]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *added])
+            yield pa.RecordBatch.from_arrays([b.column("_kept"), *columns], ["_kept", *added])
 
-    return dealt.mapInArrow(run, schema)
+    return unnested(dealt.mapInArrow(run, StructType([rows.schema["_kept"], *StructType.fromDDL(names)])), list(added))
 
 
 def _metadata(read, shard: str, offset: int, length: int, digest: str) -> tuple:

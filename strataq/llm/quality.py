@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataq.llm.common import nested, unnested
+
 #: Bound of the labelled sample: the rows with the least hashes of their ids.
 SAMPLE_ROWS = 8000
 TREES, DEPTH, RATE, CUTS, LEAST_ROWS, SEED = 60, 3, 0.3, 24, 15, 7
@@ -49,8 +51,7 @@ def statistics(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
         "longest_word": F.log2(F.coalesce(F.array_max(F.transform("_w", F.length)), F.lit(0)) + F.lit(1.0)),
         "letters": without("aeiouAEIOU") / n,
     }
-    kept = [c for c in out.columns if not c.startswith("_")]
-    return out.select(*kept, *(v.cast("double").alias(c) for c, v in exprs.items()))
+    return out.select(*(c for c in out.columns if c not in ("_t", "_w", "_l", "_n", "_k", "_m")), *(v.cast("double").alias(c) for c, v in exprs.items()))
 
 
 @dataclass
@@ -172,21 +173,24 @@ def train(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = FEATURES) -> Ru
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, text: str = "text", key: str = "doc_id", label: str = "quality") -> Rules:
     """Learns from at most SAMPLE_ROWS label rows for which train_rows (over the label table's key) holds.
 
-    Label rows with a null key or a label other than 0 or 1 are left out; a key with several label rows counts once for
-    each. The sample is the rows with the least hash of the key, so it is the same however the tables are cut.
+    Label rows with a null key or a label other than 0 or 1 are left out; a key counts once for each of its labels, and of
+    several rows of a key the one with the least statistics counts. The sample is the keys with the least hashes, so it is the
+    same however the tables are cut; a threshold of the hash leaves some three times as many rows to choose from.
     """
+    share = min(1.0, 3 * SAMPLE_ROWS / max(1, labels.count()))
     ids = labels.where(train_rows & F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y"))
+    ids = ids.where(F.xxhash64("_id") <= min(int(-(2**63) + share * (2**64 - 1)), 2**63 - 1)).distinct()
     ids = ids.orderBy(F.xxhash64("_id"), "_id", "_y").limit(SAMPLE_ROWS)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
-    found = statistics(rows, "_text", [F.col("_id").alias("id"), F.col("_y").alias("y")]).limit(4 * SAMPLE_ROWS).collect()
-    found.sort(key=lambda r: tuple(r))
-    x = np.array([[r[f] for f in FEATURES] for r in found], float).reshape(len(found), len(FEATURES))
+    found = statistics(rows, "_text", [F.col("_id").alias("id"), F.col("_y").alias("y")]).groupBy("id", "y").agg(F.min(F.struct(*FEATURES)).alias("x")).collect()
+    found.sort(key=lambda r: (str(r["id"]), r["y"]))
+    x = np.array([tuple(r["x"]) for r in found], float).reshape(len(found), len(FEATURES))
     order = np.random.default_rng(SEED).permutation(len(found))
     return train(x[order], np.array([r["y"] for r in found], float)[order])
 
 
 def predict(docs: DataFrame, rules: Rules, keep: list[Column], text: str = "text") -> DataFrame:
-    """`keep` columns, score (double, 0 to 1) and predicted (1 if score >= 0.5, else 0) for every row, empty texts too."""
-    kept = statistics(docs, text, [F.struct(*keep).alias("kept")])
-    scored = kept.select("kept.*", rules.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    """`keep` columns, score (double, 0 to 1) and predicted (1 if score >= 0.5, else 0) for every row, empty texts too. A kept
+    column called score or predicted is left out."""
+    scored = statistics(docs, text, [nested(keep)]).select("_kept", rules.score().alias("score"))
+    return unnested(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), ["score", "predicted"])
