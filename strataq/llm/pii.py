@@ -1,9 +1,12 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions, in numpy, beside a plain pattern base.
 
-The network is trained from labelled spans: the base's own on a bounded sample, and spans of written-out variants that the
-base doesn't know. Texts are cut into overlapping windows; a window's decoded tags count for its middle, where it saw most on
-both sides, and the pieces are joined over the whole text before spans are checked, so no span is cut by a window's edge.
-A span must hold a digit or an `@`: the CRF gives windows without either no other path than the empty one, so they are left out.
+The network reads characters (letters by themselves, so words around a number count; all digits alike) and is trained from
+labelled spans: the base's own on a bounded sample, and spans of written-out variants that the base doesn't know, among
+clutter of the same looks. Texts are cut into overlapping windows; a window's decoded tags count for its middle, where it saw
+most on both sides, and the pieces are joined over the whole text before spans are checked, so no span is cut by a window's edge.
+
+Only characters within NEAR of a trigger (a digit, an `@`, `[at]` or `(at)`) may be tagged: the decoder forbids all other tags
+elsewhere. So the only path through a window without such a character is the empty one, and it needn't be computed.
 """
 
 from __future__ import annotations
@@ -17,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import slices
+from strataq.llm.common import scanned
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the training sample: rows, characters of a row that may be cut into training windows, and windows.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_WINDOWS = 600, 20_000, 1600
-WINDOW, STRIDE = 96, 48
+#: Bounds of the training sample: rows, pieces of a row, characters of a piece, and windows that are made of them.
+SAMPLE_ROWS, PIECES, PIECE_CHARS, SAMPLE_WINDOWS = 600, 4, 400, 4000
+WINDOW, STRIDE, NEAR, TRAINING = 96, 48, 32, 60
 EMBED, HIDDEN, TAGS = 10, 16, 1 + 2 * len(KINDS)
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.02, 11
+EPOCHS, BATCH, RATE, SEED = 10, 48, 0.02, 11
+#: Mean probability of its tags from which a decoded span is taken.
+CONFIDENT = 0.5
 ROWS = 2048
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -35,7 +40,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
-_TRIGGER = re.compile("[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[\[(][aA][tT][\])]")
 
 
 def luhn(digits: str) -> bool:
@@ -92,20 +97,20 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-_CLASSES = "0a@.-+() _%[]:,/"
-_CLASS = np.full(0x10000, len(_CLASSES), np.uint8)  # what has no class of its own
-for _i, _c in enumerate(_CLASSES):
-    _CLASS[ord(_c)] = _i
-_CLASS[ord("0") : ord("9") + 1] = 0
-_CLASS[[c for c in range(0x10000) if chr(c).isalpha()]] = 1
-_CLASS[[9, 10, 11, 12, 13]] = _CLASSES.index(" ")
-PAD = len(_CLASSES) + 1
+OTHERS = 64
+PAD = 128 + OTHERS
+_CODE = np.arange(128, dtype=np.uint8)
+_CODE[ord("A") : ord("Z") + 1] += 32
+_CODE[ord("0") : ord("9") + 1] = ord("0")
+_CODE[[9, 10, 11, 12, 13]] = ord(" ")
 
 
-def classes(text: str) -> np.ndarray:
-    """Character classes, one for each code point."""
+def codes(text: str) -> np.ndarray:
+    """What the network reads, one for each code point: ASCII with letters lower-cased, digits alike and white space alike;
+    others hashed to OTHERS codes."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 0x10000, _CLASS[np.minimum(points, 0xFFFF)], np.uint8(len(_CLASSES)))
+    hashed = ((points * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.uint8) + np.uint8(128)
+    return np.where(points < 128, _CODE[np.minimum(points, 127)], hashed)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -168,9 +173,15 @@ class Tagger:
         scores = both @ self.p["o"] + self.p["ob"]
         return (scores, both, kf, kb) if keep else scores
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best allowed tags of each row: rows, time."""
+    def limited(self, ids: np.ndarray, may: np.ndarray) -> np.ndarray:
+        """Scores with all tags but the empty one forbidden where `may` (rows, time) is false."""
         scores = self.emissions(ids)
+        scores[:, :, 1:] += np.where(may.T, np.float32(0), np.float32(-1e4))[:, :, None]
+        return scores
+
+    def decode(self, ids: np.ndarray, may: np.ndarray) -> np.ndarray:
+        """The best allowed tags of each row: rows, time."""
+        scores = self.limited(ids, may)
         move = self.p["t"] + _FORBIDDEN
         best, back = scores[0] + _FIRST, np.empty(scores.shape, np.int8)
         for t in range(1, len(scores)):
@@ -184,33 +195,44 @@ class Tagger:
             tags[:, t - 1] = back[t][rows, tags[:, t]]
         return tags
 
+    def chain(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From scores (time, rows, TAGS): the log of each row's sum over all allowed paths, the probability of each tag in
+        its place, and the expected number of each transition in all rows. Forward and backward sums are scaled to one a step."""
+        top = scores.max(axis=2, keepdims=True)
+        e, move = np.exp(scores - top), np.exp(self.p["t"]) * allowed()
+        a, b, c = np.empty_like(e), np.ones_like(e), np.empty(e.shape[:2], e.dtype)
+        x = e[0] * np.exp(_FIRST)
+        for t in range(len(e)):
+            if t:
+                x = (a[t - 1] @ move) * e[t]
+            c[t] = x.sum(axis=1)
+            a[t] = x / c[t][:, None]
+        through = np.empty_like(e)
+        for t in range(len(e) - 1, -1, -1):
+            through[t] = e[t] * b[t] / c[t][:, None]
+            if t:
+                b[t - 1] = through[t] @ move.T
+        moves = (a[:-1].reshape(-1, TAGS).T @ through[1:].reshape(-1, TAGS)) * move
+        return (np.log(c) + top[:, :, 0]).sum(axis=0), a * b, moves
+
+    def marginals(self, ids: np.ndarray, may: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """The probability of each of the given tags in its place: rows, time."""
+        chance = self.chain(self.limited(ids, may))[1]
+        return np.take_along_axis(chance, tags.T[:, :, None].astype(np.int64), axis=2)[:, :, 0].T
+
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tags, and its gradients."""
         scores, both, kf, kb = self.emissions(ids, keep=True)
         steps, n = scores.shape[:2]
-        rows, move = np.arange(n), self.p["t"] + _FORBIDDEN
-        alpha, beta = np.empty(scores.shape, np.float64), np.zeros(scores.shape, np.float64)
-        alpha[0] = scores[0] + _FIRST
-
-        def lse(a, axis):
-            m = a.max(axis=axis, keepdims=True)
-            return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-        for t in range(1, steps):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + move[None], 1) + scores[t]
-        for t in range(steps - 2, -1, -1):
-            beta[t] = lse(move[None] + (scores[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
-        d = np.exp(alpha + beta - z[None, :, None])
-        gt, gold = np.zeros((TAGS, TAGS)), np.zeros(n)
-        for t in range(steps):
-            gold += scores[t][rows, tags[:, t]] + (move[tags[:, t - 1], tags[:, t]] if t else _FIRST[tags[:, 0]])
-            d[t][rows, tags[:, t]] -= 1
-            if t:
-                gt += np.exp(alpha[t - 1][:, :, None] + move[None] + (scores[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
-                np.add.at(gt, (tags[:, t - 1], tags[:, t]), -1)
+        z, d, gt = self.chain(scores)
+        d = d.copy()
+        own = tags.T[:, :, None].astype(np.int64)
+        pairs = np.bincount((tags[:, :-1].astype(np.int64) * TAGS + tags[:, 1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
+        gold = np.take_along_axis(scores, own, axis=2).sum(axis=(0, 2)) + (self.p["t"] + _FORBIDDEN)[tags[:, :-1], tags[:, 1:]].sum(axis=1) + _FIRST[tags[:, 0]]
+        np.put_along_axis(d, own, np.take_along_axis(d, own, axis=2) - 1, axis=2)
+        gt = gt - pairs
         g = {"t": gt / n}
-        d = (d / n).astype(np.float32)
+        d = (d / n).astype(scores.dtype)
         g["o"] = np.einsum("tnh,tnk->hk", both, d)
         g["ob"] = d.sum(axis=(0, 1))
         dh_all = d @ self.p["o"].T
@@ -245,32 +267,44 @@ class Tagger:
                 for k, x in g.items():
                     x = x * scale
                     m[k], v[k] = 0.9 * m[k] + 0.1 * x, 0.99 * v[k] + 0.01 * x * x
-                    self.p[k] -= (RATE * 0.6**epoch * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                    self.p[k] -= (RATE * 0.75**epoch * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
 
-def variants(rng: np.random.Generator) -> tuple[int, str]:
-    """A kind and a written-out form of it that the base may miss."""
+#: Words before a bare number that say it is a phone's, and such as say it isn't.
+CALLS = ("call", "tel", "phone", "mobile", "fax", "reach me at", "dial", "contact")
+COUNTS = ("order", "item", "invoice", "page", "ticket", "serial", "lot", "part", "room", "case")
+
+
+def variants(rng: np.random.Generator) -> tuple[int, str, str]:
+    """A kind, what stands before the span, and a written-out form of it that the base may miss."""
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9)))
-    kind = int(rng.integers(0, 4))
+    pick = lambda *forms: str(rng.choice(forms))
+    kind = int(rng.choice(4, p=(0.25, 0.15, 0.15, 0.45)))
     if kind == 0:
-        return kind, str(rng.choice([f"{word()} @ {word()} . com", f"{word()}.{word()} @ {word()}.org", f"{word()}@{word()} . net", f"{word()}{digits(2)}@{word()}.com"]))
+        name, host, end = pick(word(), f"{word()}.{word()}", f"{word()}{digits(2)}"), word(), pick("com", "org", "net", "de")
+        return kind, "", pick(f"{name} @ {host} . {end}", f"{name} @ {host}.{end}", f"{name}@{host} . {end}", f"{name} [at] {host}.{end}", f"{name}(at){host}.{end}", f"{name} (at) {host} (dot) {end}", f"{name}[at]{host}[dot]{end}")
     if kind == 1:
         a = [str(x) for x in rng.integers(0, 256, 4)]
-        return kind, str(rng.choice([" . ".join(a), "[.]".join(a), ".".join(a)]))
+        return kind, "", pick(" . ".join(a), "[.]".join(a), "(.)".join(a))
     if kind == 2:
         body = "4" + digits(14)
         body += next(str(c) for c in range(10) if luhn(body + str(c)))
-        return kind, str(rng.choice([".", "_", "/", " ", "-"])).join(body[i : i + 4] for i in range(0, 16, 4))
+        return kind, "", pick(".", "_", "/", " - ").join(body[i : i + 4] for i in range(0, 16, 4))
     a, b, c = digits(3), digits(3), digits(4)
-    return kind, str(rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits(2)} {a} {b} {c}", f"+{digits(2)} {a} {b} {c}"]))
+    if rng.random() < 0.5:
+        return kind, pick(*CALLS) + pick(" ", ": ", " "), pick(a + b + c, f"{a} {b} {c}", f"{a}/{b}{c}")
+    return kind, "", pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits(2)} {a} {b} {c}")
 
 
 def clutter(rng: np.random.Generator) -> str:
     """Numbers and signs that are no personal data."""
     n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    return str(rng.choice([n(4), f"{n(1)}.{n(2)}", f"{n(2)},{n(3)}", f"20{n(2)}-0{n(1)}-1{n(1)}", f"{n(2)}%", f"#{n(3)}", f"v{n(1)}.{n(1)}.{n(1)}", f"@{n(2)}", f"{n(2)}:{n(2)}", f"{n(6)}", f"id{n(5)}", "@"]))
+    pick = lambda *forms: str(rng.choice(forms))
+    if rng.random() < 0.4:
+        return pick(*COUNTS) + pick(" ", ": ", " ") + pick(n(10), f"{n(3)} {n(3)} {n(4)}", n(7), n(12), f"{n(3)}/{n(7)}")
+    return pick(n(4), f"{n(1)}.{n(2)}", f"{n(2)},{n(3)}", f"20{n(2)}-0{n(1)}-1{n(1)}", f"{n(2)}%", f"#{n(3)}", f"v{n(1)}.{n(1)}.{n(1)}", f"@{n(2)}", f"{n(2)}:{n(2)}", n(6), f"id{n(5)}", "@", n(10), f"{n(3)} {n(3)} {n(4)}", f"| {n(3)} | {n(2)} | {n(4)}", f"{n(1)},{n(3)},{n(3)}", f"{n(8)}-{n(4)}", "(at)", "".join(rng.choice(list("0123456789abcdef"), 16)))
 
 
 def _tags(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -281,34 +315,46 @@ def _tags(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
+def near_trigger(text: str) -> np.ndarray:
+    """Whether each character may be tagged: it lies within NEAR of a trigger."""
+    steps = np.zeros(len(text) + 1, np.int32)
+    at = np.array([m.span() for m in _TRIGGER.finditer(text)], np.int64).reshape(-1, 2)
+    np.add.at(steps, np.maximum(at[:, 0] - NEAR, 0), 1)
+    np.add.at(steps, np.minimum(at[:, 1] + NEAR, len(text)), -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
 def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Windows and tags: around the base's spans, around variants and clutter set into the texts, and plain ones."""
     rng, ids, tags = np.random.default_rng(SEED), [], []
 
     def add(text: str, spans: list, at: int) -> None:
-        start = max(0, min(at - int(rng.integers(8, WINDOW - 24)), len(text) - WINDOW))
-        row, own = np.full(WINDOW, PAD, np.uint8), np.zeros(WINDOW, np.int8)
-        part = classes(text[start : start + WINDOW])
+        start = max(0, min(at - int(rng.integers(4, TRAINING - 26)), len(text) - TRAINING))
+        row, own = np.full(TRAINING, PAD, np.uint8), np.zeros(TRAINING, np.int8)
+        part = codes(text[start : start + TRAINING])
         row[: len(part)] = part
-        own[: len(part)] = _tags(len(text), spans)[start : start + WINDOW]
+        own[: len(part)] = _tags(len(text), spans)[start : start + TRAINING]
         if own[0] and own[0] % 2 == 0:
             own[0] -= 1  # a span that began before the window
         ids.append(row), tags.append(own)
 
-    texts = [t[:SAMPLE_CHARS] for t in texts if t] or ["the of and to in"]
+    texts = [t for t in texts if t] or ["the of and to in"]
     for t in texts:
         spans = base_spans(t)
         for _, a, _ in spans[:3]:
-            if len(ids) < SAMPLE_WINDOWS // 3:
+            if len(ids) < SAMPLE_WINDOWS // 4:
                 add(t, spans, a)
+        if (digit := _TRIGGER.search(t)) and len(ids) < SAMPLE_WINDOWS // 3:
+            add(t, spans, digit.start())
     while len(ids) < SAMPLE_WINDOWS:
         t = texts[int(rng.integers(len(texts)))]
         cut = int(rng.integers(0, max(1, len(t))))
         cut = t.find(" ", cut) + 1 or cut
         around = t[max(0, cut - 150) : cut], t[cut : cut + 150]
-        if rng.random() < 0.75:
-            kind, form = variants(rng)
-            extra, spans = form + " ", [(kind, len(around[0]), len(around[0]) + len(form))]
+        if rng.random() < 0.55:
+            kind, before, form = variants(rng)
+            extra = before + form + " "
+            spans = [(kind, len(around[0]) + len(before), len(around[0]) + len(before) + len(form))]
         else:
             extra, spans = clutter(rng) + " ", []
         text = around[0] + extra + around[1]
@@ -317,64 +363,88 @@ def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ids), np.array(tags)
 
 
+def pieces_of(text: str, seed: int) -> list[str]:
+    """Up to PIECES pieces of PIECE_CHARS characters, from anywhere in the text: half of them around triggers, if it has any."""
+    rng, out = np.random.default_rng(seed & 2**63 - 1), []
+    for i in range(PIECES):
+        at = int(rng.integers(0, len(text)))
+        if i % 2 and (m := _TRIGGER.search(text, at) or _TRIGGER.search(text)):
+            at = m.start()
+        start = max(0, min(at - PIECE_CHARS // 2, len(text) - PIECE_CHARS))
+        start = 0 if start == 0 else text.find(" ", start, start + 40) + 1 or start
+        piece = text[start : start + PIECE_CHARS]
+        out.append(piece if start + PIECE_CHARS >= len(text) else piece[: piece.rfind(" ") + 1 or len(piece)])
+    return out
+
+
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Tagger:
-    """A tagger trained on a bounded sample: the SAMPLE_ROWS rows with the least hash of key and text among those that hold a
-    digit or an `@`, of which SAMPLE_CHARS characters may be cut into windows. Null and other texts don't enter it."""
-    rows = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(key), F.length(text)).alias("h")).where(F.col("t").rlike("[0-9@]"))
-    rows = rows.select("h", F.substring("t", 1, SAMPLE_CHARS).alias("t")).orderBy("h", F.xxhash64("t")).limit(SAMPLE_ROWS)
-    return Tagger.fresh().train(*training_windows([r["t"] for r in rows.collect()]))
+    """A tagger trained on a bounded sample: of the SAMPLE_ROWS distinct rows with the least hash of key and text, PIECES pieces
+    of PIECE_CHARS characters each. Only pieces leave the executors, of some three times as many rows, chosen by a threshold of
+    the hash. Null and empty texts don't enter it; without any text the tagger learns from variants and clutter alone."""
+    n = docs.count()
+    ceiling = int(-(2**63) + min(1.0, 3 * SAMPLE_ROWS / max(1, n)) * (2**64 - 1))
+    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t")).where((F.col("h") <= min(ceiling, 2**63 - 1)) & (F.col("t") != ""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [pieces_of(t.as_py(), h) for h, t in zip(b.column("h").to_pylist(), b.column("t"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(cut, pa.list_(pa.string()))], ["h", "pieces"])
 
+    got = rows.mapInArrow(run, "h long, pieces array<string>").dropDuplicates(["h"]).orderBy("h").limit(SAMPLE_ROWS).collect()
+    return Tagger.fresh().train(*training_windows([p for r in sorted(got) for p in r["pieces"]]))
 
-def _soft(kind: int, s: str) -> bool:
-    """Whether a decoded span may be what it is tagged as."""
-    digits = _NOT_DIGIT.sub("", s)
+
+def _holds(kind: int, s: str) -> bool:
+    """What the base asks of its own matches, of the digits alone: their number, the checksum of cards, the range of addresses."""
     if kind == 0:
-        local, at, domain = s.partition("@")
-        return bool(at) and "@" not in domain and bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?", local)) and bool(re.fullmatch(r" ?[A-Za-z0-9-]+( ?\. ?[A-Za-z0-9-]+)+", domain))
+        return any(map(str.isalpha, s))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(( ?\. ?|\[\.\])[0-9]{1,3}){3}", s)) and all(int(x) < 256 for x in re.findall("[0-9]+", s))
-    if kind == 2:
-        return bool(re.fullmatch(r"[0-9]([ ._/-]?[0-9])+", s)) and 13 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"\+?\(?[0-9][ ().0-9-]*[0-9]", s)) and 9 <= len(digits) <= 15
-
-
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows on the grid whose characters hold a digit or an `@`, over the whole text."""
-    out: set[int] = set()
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-    at = _TRIGGER.search(text)
-    while at:
-        p = at.start()
-        high = min(p // STRIDE, last)
-        out.update(range(max(0, -(-(p - WINDOW + 1) // STRIDE)), high + 1))
-        at = _TRIGGER.search(text, max(p + 1, min((high + 1) * STRIDE, len(text))) if high < last else len(text))
-    return [k * STRIDE for k in sorted(out)]
-
-
-def tag_texts(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans of each whole text, base and added ones, by kind and start. Added spans overlap no other span."""
-    places = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    coded = {i: classes(texts[i]) for i in {i for i, _ in places}}
+        return len(parts := re.findall("[0-9]+", s)) == 4 and _ip_holds(".".join(parts))
+    digits = _NOT_DIGIT.sub("", s)
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+
+
+def window_starts(may: np.ndarray) -> np.ndarray:
+    """Starts of the windows on the grid that hold a character that may be tagged, over the whole text."""
+    last = max(0, -(-(len(may) - WINDOW) // STRIDE))
+    before = np.concatenate([[0], np.cumsum(may)])
+    starts = np.arange(last + 1) * STRIDE
+    return starts[before[np.minimum(starts + WINDOW, len(may))] > before[starts]] if len(may) else starts[:0]
+
+
+def tag_texts(texts: list[str], tagger: Tagger, everywhere: bool = False) -> list[list[tuple[int, int, int]]]:
+    """Spans of each whole text, base and added ones, by kind and start. Added spans overlap no other span. everywhere: also
+    windows without a character that may be tagged are computed, with the same result."""
+    may, places, edge = {}, [], (WINDOW - STRIDE) // 2
+    for i, t in enumerate(texts):
+        if everywhere or _TRIGGER.search(t):
+            may[i] = near_trigger(t)
+            places += [(i, int(s)) for s in (window_starts(np.ones(len(t), bool)) if everywhere else window_starts(may[i]))]
+    coded = {i: codes(texts[i]) for i in may}
     tags = {i: np.zeros(len(c), np.int8) for i, c in coded.items()}
-    edge = (WINDOW - STRIDE) // 2
+    sure: dict[int, np.ndarray] = {}
     for start in range(0, len(places), ROWS):
         some = places[start : start + ROWS]
-        ids = np.full((len(some), WINDOW), PAD, np.uint8)
+        ids, open_ = np.full((len(some), WINDOW), PAD, np.uint8), np.zeros((len(some), WINDOW), bool)
         for r, (i, s) in enumerate(some):
-            part = coded[i][s : s + WINDOW]
-            ids[r, : len(part)] = part
-        found = tagger.decode(ids)
-        for r in np.flatnonzero(found.any(axis=1)):
+            n = min(WINDOW, len(coded[i]) - s)
+            ids[r, :n], open_[r, :n] = coded[i][s : s + n], may[i][s : s + n]
+        found = tagger.decode(ids, open_)
+        if not len(hit := np.flatnonzero(found.any(axis=1))):
+            continue
+        chance = tagger.marginals(ids[hit], open_[hit], found[hit])
+        for r, p in zip(hit, chance, strict=True):
             i, s = some[r]
             n = len(coded[i])
             a, b = 0 if s == 0 else edge, WINDOW if s + WINDOW >= n else WINDOW - edge  # the middle, or up to the text's end
             b = min(b, n - s)
             tags[i][s + a : s + b] = found[r, a:b]
+            sure.setdefault(i, np.zeros(n, np.float32))[s + a : s + b] = p[a:b]
     out = []
     for i, t in enumerate(texts):
         base = base_spans(t)
         added = []
-        if i in tags and tags[i].any():
+        if i in sure and tags[i].any():
             kinds = (tags[i] + 1) // 2
             begins = np.flatnonzero((kinds > 0) & ((tags[i] % 2 == 1) | (np.concatenate([[0], kinds[:-1]]) != kinds)))
             taken = sorted((a, b) for _, a, b in base)
@@ -382,9 +452,11 @@ def tag_texts(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int
                 k, b = int(kinds[a]), a + 1
                 while b < len(t) and kinds[b] == k and tags[i][b] % 2 == 0:
                     b += 1
-                while b > a and t[b - 1] in " .-(":
+                if sure[i][a:b].mean() < CONFIDENT or not _TRIGGER.search(t, a, b):
+                    continue
+                while b > a and t[b - 1] in " .-(,;:":
                     b -= 1
-                if _TRIGGER.search(t, a, b) and _soft(k - 1, t[a:b]) and not any(x < b and a < y for x, y in taken):
+                if _holds(k - 1, t[a:b]) and not any(x < b and a < y for x, y in taken):
                     added.append((k - 1, a, b))
                     taken.append((a, b))
         out.append(sorted(base + added))
@@ -403,22 +475,17 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, tagger: Tagger, keep: list[Column], text: str = "text") -> DataFrame:
     """`keep` columns and, for every row's whole text (null: empty): n_email, n_ip, n_card, n_phone and base (the base's spans
-    alone), spans (base and added), each as `kind:start:end` by kind and start, comma-joined, and redacted (null for null)."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    fields = kept.schema.fields[:-1]
+    alone), spans (base and added), each as `kind:start:end` by kind and start, comma-joined, and redacted (null for null).
+    A kept column with one of these names is left out."""
     known = docs.sparkSession.sparkContext.broadcast(tagger)
+    types = [pa.int64()] * len(KINDS) + [pa.string()] * 3
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "_text", 4 << 20):
-                texts = b.column("_text").to_pylist()
-                out = []
-                for t, spans in zip(texts, tag_texts([t or "" for t in texts], known.value), strict=True):
-                    base = base_spans(t or "")
-                    out.append((*(sum(s[0] == k for s in base) for k in range(len(KINDS))), written(base), written(spans), None if t is None else redacted(t, spans)))
-                types = [pa.int64()] * len(KINDS) + [pa.string()] * 3
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], [*b.schema.names[:-1], "n_email", "n_ip", "n_card", "n_phone", "base", "spans", "redacted"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_email long, n_ip long, n_card long, n_phone long, base string, spans string, redacted string"])
-    return kept.mapInArrow(run, schema)
+    def look(column: pa.Array) -> list:
+        texts = column.to_pylist()
+        out = []
+        for t, spans in zip(texts, tag_texts([t or "" for t in texts], known.value), strict=True):
+            base = base_spans(t or "")
+            out.append((*(sum(s[0] == k for s in base) for k in range(len(KINDS))), written(base), written(spans), None if t is None else redacted(t, spans)))
+        return [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+
+    return scanned(docs, keep, text, "n_email long, n_ip long, n_card long, n_phone long, base string, spans string, redacted string", lambda: look, 4 << 20)
