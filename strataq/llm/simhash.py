@@ -9,7 +9,9 @@ near a boundary go to both sides, and no pair within the radius is missed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -18,13 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import slices, staged
+from strataq.llm.common import attached, nested, scanned, staged, unnested
 from strataq.llm.components import roots
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
-#: Members of a shard that one task takes as queries; a larger shard is dealt over several tasks, each with a slice of the
-#: queries against all members. Pairs that a leaf of a tree compares at once.
-SLICE, LEAF = 8192, 1 << 14
+#: Members of a shard that one task takes as queries. A larger shard is split by further runs of bits, LEVELS times at most;
+#: what is larger still is dealt over several tasks, each with a slice of the queries against all members. Pairs that a leaf
+#: of a tree compares at once.
+SLICE, LEVELS, LEAF = 8192, 3, 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -47,17 +50,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, keep: list[Column], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """`keep` columns and fp (long: the 64 bits as signed) for every row; one pass without a shuffle."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    fields = kept.schema.fields[:-1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "_text"):
-                found = np.array([fingerprint(t.as_py(), shingle) for t in b.column("_text")], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], [*b.schema.names[:-1], "fp"])
-
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "fp long"]))
+    """`keep` columns (but any called fp) and fp (long: the 64 bits as signed) for every row; one pass without a shuffle."""
+    look = lambda texts: [pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))]
+    return scanned(docs, keep, text, "fp long", lambda: look)
 
 
 def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,29 +101,64 @@ def tree_links(queries: np.ndarray, members: np.ndarray, radius: int) -> Iterato
                 yield nodes[own], nodes[least[own]]
 
 
-def _keys(radius: int, n: int) -> list[list[tuple[int, int]]]:
-    """Choices of bit runs (start, length): the fewest that leave some hundred fingerprints of n to a shard."""
+def _run(bits: list[int]) -> int:
+    """The mask of some bits, as a signed 64-bit number."""
+    mask = sum(1 << b for b in bits)
+    return mask - 2**64 if mask >= 2**63 else mask
+
+
+def _split(bits: list[int], runs: int) -> list[list[int]]:
+    return [bits[round(i * len(bits) / runs) : round((i + 1) * len(bits) / runs)] for i in range(runs)]
+
+
+def _choices(radius: int, n: int) -> list[list[int]]:
+    """Choices of bits: the fewest that leave some hundred fingerprints of n to a shard. Two fingerprints within the radius agree
+    on all bits of one of them at least."""
     for agree in range(1, 9):
-        blocks = radius + agree
-        bounds = [round(i * 64 / blocks) for i in range(blocks + 1)]
-        runs = [(bounds[i], bounds[i + 1] - bounds[i]) for i in range(blocks)]
-        if n <= 2 ** (64 * agree // blocks) * 256 or agree == 8 or len(list(combinations(runs, agree + 1))) > 500:
-            return [list(c) for c in combinations(runs, agree)]
+        runs = _split(list(range(64)), radius + agree)
+        if n <= 2 ** (64 * agree // len(runs)) * 256 or agree == 8 or math.comb(radius + agree + 1, agree + 1) > 500:
+            return [sum(c, []) for c in combinations(runs, agree)]
     raise AssertionError
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints: distinct fp (long). Links u, v (long) whose components are those of all pairs within the radius; each shard
-    gives a spanning star instead of all pairs, so a large group of near copies gives no square of links."""
+    gives a spanning star instead of all pairs, so a large group of near copies gives no square of links.
+
+    A shard of over SLICE members is split again: of radius + 1 runs of the bits that it wasn't chosen by, two members within
+    the radius agree on one at least, so they meet in one of its parts.
+    """
     n = prints.count()
-    keys = _keys(radius, n)
-    key = lambda runs: F.concat_ws("-", *(F.shiftrightunsigned("fp", a).bitwiseAND((1 << w) - 1) for a, w in runs))
-    shards = prints.select("fp", F.posexplode(F.array(*map(key, keys))).alias("choice", "bits"))
-    sizes = shards.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1").withColumn("tasks", F.ceil(F.col("n") / SLICE).cast("int"))
-    dealt = shards.join(sizes.drop("n"), ["choice", "bits"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tasks")).cast("int"))
-    dealt = dealt.select("choice", "bits", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "own", "fp")
+    choices = dict(enumerate(_choices(radius, n)))
+    shards = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(_run(c)) for c in choices.values()))).alias("choice", "bits"))
+    total, dealt = n * len(choices), []
     order = ["choice", "bits", "task"]
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order).select(*order, (F.col("own") == F.col("task")).alias("asks"), "fp")
+    for level in range(LEVELS + 1):
+        sizes = staged(shards.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+        met = attached(shards, sizes, ["choice", "bits"], "n", total)
+        many = sizes.where(F.col("n") > SLICE).agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+        dealt.append(met.where(F.col("n") <= SLICE).select("choice", "bits", F.lit(0).alias("task"), F.lit(True).alias("asks"), "fp"))
+        if not many:
+            break
+        large = met.where(F.col("n") > SLICE)
+        if level == LEVELS:
+            tasks = F.ceil(F.col("n") / SLICE).cast("int")
+            own = F.pmod(F.xxhash64("fp"), tasks).cast("int")
+            copies = large.select("choice", "bits", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), own.alias("own"), "fp")
+            dealt.append(copies.select("choice", "bits", "task", (F.col("own") == F.col("task")).alias("asks"), "fp"))
+            break
+        finer, parts = {}, []
+        for c in [r["choice"] for r in sizes.where(F.col("n") > SLICE).select("choice").distinct().collect()]:
+            rest = [b for b in range(64) if b not in choices[c]]
+            for run in _split(rest, radius + 1):
+                at = max(choices) + 1 + len(finer)
+                finer[at] = choices[c] + run
+                parts.append((c, at, _run(finer[at])))
+        choices = finer
+        by_choice = F.broadcast(prints.sparkSession.createDataFrame(parts, "choice int, finer int, mask long"))
+        shards = staged(large.join(by_choice, "choice").select("fp", F.col("finer").alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits")), "shards")
+        total = many * (radius + 1)
+    dealt = reduce(DataFrame.unionByName, dealt).repartition(*order).sortWithinPartitions(*order)
 
     def links(own: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         members = np.concatenate([x for _, x in own]).view(np.uint64)
@@ -157,13 +187,14 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: list[Column], doc_id: Column, text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """`keep` columns, fp (long) and component_id for every row: the least doc_id of the rows reachable over links between
-    fingerprints within the radius, itself included. Rows with equal fingerprints are linked; null texts have fingerprint 0.
-    component_id is null only where all doc_ids of a component are null. Only fingerprints, never texts, are shuffled."""
-    rows = staged(fingerprints(docs, [*keep, doc_id.alias("_doc")], text, shingle), "fingerprints")
-    prints = staged(rows.groupBy("fp").agg(F.min("_doc").alias("least")), "prints")
+    """`keep` columns (but any called fp or component_id), fp (long) and component_id for every row: the least doc_id of the rows
+    reachable over links between fingerprints within the radius, itself included. Rows with equal fingerprints are linked;
+    null texts have fingerprint 0. component_id is null only where all doc_ids of a component are null. Only fingerprints,
+    never texts, are shuffled."""
+    rows = staged(fingerprints(docs, [nested(keep), doc_id.alias("_doc")], text, shingle), "fingerprints")
+    prints = staged(rows.groupBy("fp").agg(F.min("_doc").alias("least"), F.count("*").alias("n")), "prints")
     found = roots(near_links(prints.select("fp"), radius))
     rooted = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(components, "root").select("fp", "component_id")
-    return rows.join(by_print, "fp").drop("_doc")
+    components = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_of"))
+    by_print = attached(rooted, components, ["root"], "_of", prints.count()).select("fp", "n", "component_id")
+    return unnested(attached(rows, by_print, ["fp"], "n", rows.count()), ["fp", "component_id"])
