@@ -1,28 +1,40 @@
 """The corpus pipeline: quality, near-duplicates, benchmark passages, personal data, then tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
-`documents`. Labels and benchmark are read from sf_dir.
+their input, whatever else they are called: columns go through in a struct, so they meet no name of an operator. Null and empty
+texts are rows like any other (see the operators for what they get); an empty table gives an empty table. Labels and
+benchmark are read from sf_dir.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm import bpe, decontaminate, pii, quality, simhash_wide
 from strataq.llm.common import remainder, staged, table
 
 
-def _columns(found: DataFrame, columns: list[str]) -> DataFrame:
-    return found.select(*(F.col(f"`{c}`") for c in columns))
+def _carried(docs: DataFrame, *but: str) -> Column:
+    """The columns of docs, but some, as one struct."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in but)).alias("_row")
+
+
+def _again(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs in their order and types: new ones, and the others from the struct."""
+    return found.select(*((new[c] if c in new else F.col("_row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def _retold(found: DataFrame, docs: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """docs with another text; n_chars is counted anew where the text has changed."""
+    return _again(found, docs, text=text, n_chars=F.when(changed, F.length(text)).otherwise(F.col("_row").getField("n_chars")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at least 0.5."""
     rules = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"), remainder(F.col("doc_id"), 3) != 1)
-    scored = quality.predict(docs, rules, [F.col(f"`{c}`") for c in docs.columns])
-    return _columns(scored.where("predicted = 1"), docs.columns)
+    return _again(quality.predict(docs, rules, [_carried(docs)]).where("predicted = 1"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +43,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of benchmark passages; n_chars is counted anew where a text changed."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), [*others, F.col("n_chars").alias("_n")], remove="spans")
-    out = found.withColumns({"text": F.col("cleaned"), "n_chars": F.when(F.col("n_hit") > 0, F.length("cleaned").cast("long")).otherwise(F.col("_n"))})
-    return _columns(out, docs.columns)
+    """Documents without the words of benchmark passages."""
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), [_carried(docs, "text")], remove="spans")
+    return _retold(found, docs, F.col("cleaned"), F.col("n_hit") > 0)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars is counted anew where a text changed."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
-    found = pii.scan(docs, pii.fit(docs), [*others, F.col("n_chars").alias("_n")])
-    out = found.withColumns({"text": F.col("redacted"), "n_chars": F.when(F.col("spans") != "", F.length("redacted").cast("long")).otherwise(F.col("_n"))})
-    return _columns(out, docs.columns)
+    """Documents with personal data replaced by its kind."""
+    found = pii.scan(docs, pii.fit(docs), [_carried(docs, "text")])
+    return _retold(found, docs, F.col("redacted"), F.col("spans") != "")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
