@@ -18,7 +18,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JO
     "op8_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-g AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram FROM b, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= len(w) - least(10, len(w)) + 1),
+g AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 ls AS (SELECT DISTINCT n FROM g),
 wins AS (SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ls WHERE len(w) >= n)),
 h AS (SELECT DISTINCT rid, wins.n, i, item_id FROM wins JOIN g ON wins.gram = g.gram AND wins.n = g.n),
@@ -32,7 +32,7 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)""",
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rest = remainder(F.col("doc_id"), 10)
-    return lm.score(docs, [F.col("doc_id"), (rest == 0).alias("held_out")], "text", rest != 0, rest == 9)
+    return lm.score(docs, [F.col("doc_id"), (rest == 0).alias("held_out")], "text", rest != 0, rest == 9, F.col("doc_id"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
