@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataq.operators.intervals import complement, overlay, point_join, range_join
@@ -181,7 +181,7 @@ def gc_buckets(eligible: DataFrame, most: int = MOST_BUCKETS) -> DataFrame:
 
 def plan_rows(classified: DataFrame, eligible: DataFrame, runs: DataFrame) -> DataFrame:
     """Rewrite plan of the eligible segments: op keep, zero_split, canonical, run or drop, with place and length, by entry
-    and ord (position of the op among an entry's ops)."""
+    and ord: the place of an op among its entry's, whole bodies first, then pieces by place."""
     rows = classified.join(eligible.select("volume_id", "segment_id"), ["volume_id", "segment_id"], "left_semi")
     spans = runs.select("volume_id", F.col("start_lba").alias("run_start"), (F.col("start_lba") + F.col("lba_length")).alias("run_end"), F.col("hash").alias("run_hash"), "payload_block_offset")
     asked = rows.where("outcome LIKE 'partial%' OR outcome = 'zero_sub_runs'").select("volume_id", "entry_key", "hash", "kind", "start_lba", F.col("start_lba").alias("first"), (F.col("start_lba") + F.col("lba_length")).alias("last"))
@@ -190,7 +190,9 @@ def plan_rows(classified: DataFrame, eligible: DataFrame, runs: DataFrame) -> Da
     fits = F.when(F.col("kind") == "zero", F.col("run_hash") == ZERO_HASH).otherwise((F.col("run_hash") == F.col("hash")) & (F.col("payload_block_offset") + F.col("lo") - F.col("run_start") == offset))
     pieces = met.where(fits).select("entry_key", F.when(F.col("kind") == "zero", "zero_split").otherwise("run").alias("op"), F.col("lo").alias("start_lba"), (F.col("hi") - F.col("lo")).alias("lba_length"), F.when(F.col("kind") == "zero", None).otherwise(offset).alias("payload_block_offset"))
     whole = rows.select("entry_key", F.when(F.col("outcome") == "fully_live", "keep").when(F.col("outcome").isin("demote_to_canonical", "partial_with_canonical"), "canonical").when(F.col("outcome").isin("drop", "drop_and_remove_hash"), "drop").alias("op"), F.when(F.col("outcome") == "fully_live", F.col("start_lba")).alias("start_lba"), F.when(F.col("outcome") == "fully_live", F.col("lba_length")).alias("lba_length"), F.lit(None).cast("long").alias("payload_block_offset")).where("op IS NOT NULL")
-    return whole.unionByName(pieces)
+    every = whole.unionByName(pieces)
+    order = Window.partitionBy("entry_key").orderBy(F.col("op").isin("run", "zero_split"), "start_lba")
+    return every.withColumn("ord", F.row_number().over(order) - 1)
 
 
 def snapshot_live_segments(entries: DataFrame, runs: DataFrame, extents: DataFrame) -> DataFrame:

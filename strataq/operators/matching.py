@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,20 @@ def trace_cost(trace: DataFrame, files1: DataFrame, files2: DataFrame) -> DataFr
     rows = trace.join(known, "hash", "left").join(place, "hash", "left").join(old, "path", "left")
     kind = F.when(F.col("exact"), "exact").when(F.col("path").isNull(), "unmapped").when(F.col("had"), "changed").otherwise("new")
     return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("reads"), F.sum("byte_count").alias("bytes"))
+
+
+MOST_LEVELS = 256
+
+
+def tree_paths(entries: DataFrame) -> DataFrame:
+    """inode and path of every directory entry (inode, parent, name) that hangs below a root (a null parent), level by level; the
+    root's path is empty, and an inode with several names has several rows. Trees of over MOST_LEVELS levels, or with a
+    directory below itself, are refused with ValueError."""
+    step = entries.where("parent IS NULL").select("inode", F.lit("").alias("path"))
+    out, edges = [step], entries.where("parent IS NOT NULL").select(F.col("inode").alias("child"), F.col("parent").alias("inode"), "name")
+    for _ in range(MOST_LEVELS):
+        step = step.join(edges, "inode").select(F.col("child").alias("inode"), F.concat("path", F.lit("/"), "name").alias("path"))
+        if step.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        out.append(step)
+    raise ValueError("a directory tree is too deep")

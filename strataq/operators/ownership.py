@@ -82,8 +82,8 @@ def resolve_caveats(caveats: DataFrame, names: list[str]) -> DataFrame:
 
 
 def not_after(caveats: DataFrame, name: str = "exp") -> DataFrame:
-    """The least time of a token's expiry caveats; values that are no number are ignored."""
-    return caveats.where(F.col("name") == name).groupBy("token_id").agg(F.min(F.expr("try_cast(value AS BIGINT)")).alias("not_after"))
+    """The least time of a token's expiry caveats; values that are no plain number are ignored."""
+    return caveats.where(F.col("name") == name).groupBy("token_id").agg(F.min(F.when(F.col("value").rlike(r"\A\+?[0-9]+\z"), F.expr("try_cast(value AS BIGINT)"))).alias("not_after"))
 
 
 def authorize(caveats: DataFrame, audience: str, role: str, now: int, requested: int, most: int) -> DataFrame:

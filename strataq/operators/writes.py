@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4096
@@ -66,24 +66,22 @@ def warm_batches(rows: DataFrame, most_bytes: int = 256 << 10) -> DataFrame:
     exceed most_bytes; its first entry is always in. A segment has a bounded number of entries.
     """
 
-    def plan(seg: pd.DataFrame) -> pd.DataFrame:
-        out, now = [], None
-        for r in seg.sort_values("entry_idx").itertuples():
-            if r.stored_length == 0:
-                continue
-            if r.present:
-                now = None
-                continue
-            end = r.stored_offset + r.stored_length
-            if now is not None and now[5] == r.stored_offset and end - now[4] <= most_bytes:
-                now[3], now[5] = r.entry_idx, end
-            else:
-                now = [r.volume_id, r.segment_id, r.entry_idx, r.entry_idx, r.stored_offset, end]
-                out.append(now)
-        return pd.DataFrame(out, columns=["volume_id", "segment_id", "start_entry", "end_entry", "body_start", "body_end"])
-
-    narrow = rows.where("section = 'body'").select("volume_id", "segment_id", "entry_idx", "stored_offset", "stored_length", "present")
-    return narrow.groupBy("volume_id", "segment_id").applyInPandas(plan, "volume_id string, segment_id long, start_entry long, end_entry long, body_start long, body_end long")
+    order = Window.partitionBy("volume_id", "segment_id").orderBy("entry_idx")
+    bodies = rows.where("section = 'body' AND stored_length > 0").select("volume_id", "segment_id", "entry_idx", "stored_offset", "stored_length", "present")
+    end = F.col("stored_offset") + F.col("stored_length")
+    joins = F.coalesce((F.lag(end).over(order) == F.col("stored_offset")) & ~F.lag("present").over(order), F.lit(False))
+    marked = bodies.withColumn("new", (~joins).cast("int")).withColumn("island", F.sum("new").over(order)).where("NOT present")
+    held = marked.groupBy("volume_id", "segment_id", "island").agg(F.array_sort(F.collect_list(F.struct("entry_idx", F.col("stored_offset").alias("a"), end.alias("b")))).alias("own"))
+    batch = lambda x: F.struct(x["entry_idx"].alias("start_entry"), x["entry_idx"].alias("end_entry"), x["a"].alias("body_start"), x["b"].alias("body_end"))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        grown = F.struct(last["start_entry"].alias("start_entry"), x["entry_idx"].alias("end_entry"), last["body_start"].alias("body_start"), x["b"].alias("body_end"))
+        return F.when(x["b"] - last["body_start"] <= most_bytes, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(batch(x))))
+
+    rest = F.slice("own", F.lit(2), F.size("own"))
+    found = held.withColumn("batches", F.aggregate(rest, F.array(batch(F.col("own")[0])), step))
+    return found.select("volume_id", "segment_id", F.inline("batches"))
 
 
 def covered_prefix(rows: DataFrame) -> DataFrame:
@@ -101,6 +99,11 @@ def presence_bits(rows: DataFrame) -> DataFrame:
     return bytes_.groupBy("volume_id", "segment_id").agg(F.array_join(F.array_sort(F.collect_list(shown)), ",").alias("bits"), F.sum("n").alias("populated"))
 
 
+def bit_set(byte, place) -> Column:
+    """Whether the bit at a place (0 the lowest) is set."""
+    return F.getbit(byte, place.cast("int")) == 1
+
+
 def decode_bits(raw: DataFrame, bits: str, count: str, keys: list[str]) -> DataFrame:
     """keys and entry_idx of each set bit of a binary column, up to the row's entry count."""
     index = F.explode(F.sequence(F.lit(0), F.least(F.col(count), F.octet_length(bits) * 8) - 1))

@@ -33,16 +33,20 @@ def kind_predicates(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_entries").select("entry_key", P.has_body(kind).alias("has_body"), P.claims_blocks(kind).alias("claims"), P.body_kind(F.col("stored_length")).alias("body_kind"))
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || ['', 'K', 'M', 'G', 'x'][1 + p_partkey % 5] AS literal, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1024::BIGINT WHEN 2 THEN p_size * 1048576::BIGINT WHEN 3 THEN p_size * 1073741824::BIGINT ELSE -1 END AS bytes FROM part")
+LITERALS = ["7", "4G", "4GB", " 4G ", "4 G", "512M", "64KB", "2T", "4X", "", "G", "-1", "99999999999999999999", "+3K", "1.5G"]
+SIZES = [7, 4 << 30, 4 << 30, 4 << 30, 4 << 30, 512 << 20, 64 << 10, 2 << 40, None, None, None, None, None, 3 << 10, None]
+
+
+@query("SELECT p_partkey, ['" + "', '".join(LITERALS) + "'][1 + p_partkey % " + str(len(LITERALS)) + "] AS literal, CAST([" + ", ".join("NULL" if x is None else str(x) for x in SIZES) + "][1 + p_partkey % " + str(len(LITERALS)) + "] AS BIGINT) AS bytes FROM part")
 def size_literals(spark, sf_dir):
-    unit = F.element_at(F.array(*map(F.lit, ("", "K", "M", "G", "x"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    literal = F.concat(F.col("p_size").cast("string"), unit)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", literal.alias("literal"), F.coalesce(P.size_literal(literal), F.lit(-1)).alias("bytes"))
+    literal = F.element_at(F.array(*map(F.lit, LITERALS)), (F.col("p_partkey") % len(LITERALS) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", literal.alias("literal"), P.size_literal(literal).alias("bytes"))
 
 
-@query("SELECT c_custkey, regexp_full_match(n, '[A-Za-z0-9][A-Za-z0-9._-]{0,62}') AS valid FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '-' || c_name WHEN c_custkey % 3 = 1 THEN replace(c_name, '#', '-') ELSE c_name || ' x' END AS n FROM customer)")
+@query("SELECT c_custkey, length(n) > 0 AND regexp_replace(n, '[a-zA-Z0-9._-]', '', 'g') = '' AND n NOT IN ('status', 'attach') AS valid FROM (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '-' || replace(c_name, '#', '_') WHEN 1 THEN repeat('n', 100) WHEN 2 THEN 'attach' WHEN 3 THEN replace(c_name, '#', '-') || chr(10) WHEN 4 THEN c_name ELSE '' END AS n FROM customer)")
 def valid_names(spark, sf_dir):
-    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("-"), "c_name")).when(F.col("c_custkey") % 3 == 1, F.replace("c_name", F.lit("#"), F.lit("-"))).otherwise(F.concat("c_name", F.lit(" x")))
+    k = F.col("c_custkey") % 6
+    name = F.when(k == 0, F.concat(F.lit("-"), F.replace("c_name", F.lit("#"), F.lit("_")))).when(k == 1, F.lit("n" * 100)).when(k == 2, "attach").when(k == 3, F.concat(F.replace("c_name", F.lit("#"), F.lit("-")), F.lit("\n"))).when(k == 4, F.col("c_name")).otherwise("")
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", P.valid_name(name).alias("valid"))
 
 
@@ -52,12 +56,51 @@ def flags_and_ages(spark, sf_dir):
     return rows.select("event_id", P.segment_flags(F.col("f")).alias("flags"), P.fresh(F.col("i"), F.lit(1000)).alias("fresh"), P.expired(F.col("i"), F.lit(1000)).alias("expired"))
 
 
-@query("SELECT user_id, CASE WHEN user_id % 2 = 0 AND user_id % 3 = 0 THEN 'fetched' WHEN user_id % 3 = 0 THEN 'released' WHEN user_id % 5 = 0 THEN 'readonly' WHEN user_id % 7 = 0 THEN 'importing' WHEN user_id % 11 = 0 THEN 'running' ELSE 'stopped' END AS state, CASE WHEN user_id % 13 <> 0 AND user_id % 4 = 1 THEN 'mine' ELSE 'other' END AS ownership FROM (SELECT DISTINCT user_id FROM events)")
+@query("SELECT user_id, CASE WHEN user_id % 6 = 0 THEN 'fetched' WHEN user_id % 3 = 0 THEN 'released' WHEN user_id % 5 = 0 THEN 'readonly' WHEN user_id % 7 = 0 THEN 'importing' WHEN user_id % 11 = 0 THEN 'running' ELSE 'stopped' END AS state FROM (SELECT DISTINCT user_id FROM events)")
 def lifecycle_states(spark, sf_dir):
     u = F.col("user_id")
     markers = {"fetched": u % 6 == 0, "released": u % 3 == 0, "readonly": u % 5 == 0, "importing": u % 7 == 0, "running": u % 11 == 0}
-    owner = F.when(u % 13 != 0, (u % 4).cast("string"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().select("user_id", P.lifecycle(markers).alias("state"), P.ownership(owner, F.lit("1")).alias("ownership"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().select("user_id", P.lifecycle(markers).alias("state"))
+
+
+NAMES = "nm AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'live' WHEN 1 THEN 'stopped' WHEN 2 THEN 'released' WHEN 3 THEN 'readonly' END AS state, CASE WHEN c_custkey % 7 > 0 THEN 'c' || c_custkey % 3 END AS owner, c_custkey % 2 = 0 AS stopped, c_custkey % 3 = 0 AS released FROM customer)"
+
+
+def _names(spark, sf_dir):
+    k = F.col("c_custkey")
+    state = F.when(k % 5 == 0, "live").when(k % 5 == 1, "stopped").when(k % 5 == 2, "released").when(k % 5 == 3, "readonly")
+    owner = F.when(k % 7 > 0, F.concat(F.lit("c"), (k % 3).cast("string")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), state.alias("state"), owner.alias("owner"), (k % 2 == 0).alias("stopped"), (k % 3 == 0).alias("released"))
+
+
+@query("SELECT id, CASE WHEN state IS NULL THEN 'absent' WHEN state IN ('released', 'readonly') THEN state WHEN owner = 'c1' THEN 'mine' ELSE 'other' END AS position, CASE WHEN state IN ('live', 'stopped') THEN coalesce(owner, '<unknown>') END AS owner, CASE WHEN state IS NULL THEN NULL WHEN state = 'released' THEN 'released-claimable' WHEN state = 'readonly' THEN 'readonly' WHEN owner = 'c1' THEN 'owned' ELSE 'foreign' END AS eligibility, CASE WHEN state IS NULL THEN 'none' WHEN state IN ('live', 'stopped') AND owner = 'c1' THEN 'owner' ELSE 'observer' END AS role FROM nm", NAMES)
+def name_positions(spark, sf_dir):
+    rows, me = _names(spark, sf_dir), F.lit("c1")
+    position = P.ownership(F.col("state"), F.col("owner"), me)
+    return rows.select("id", position.alias("position"), P.owner_name(F.col("state"), F.col("owner")).alias("owner"), P.eligibility(F.col("state"), F.col("owner"), me).alias("eligibility"), P.role(position).alias("role"))
+
+
+@query("SELECT id, CASE WHEN state = 'released' THEN concat_ws(',', CASE WHEN NOT released THEN 'write released' END, CASE WHEN stopped THEN 'remove stopped' END) WHEN owner IS DISTINCT FROM 'c1' THEN '' WHEN state = 'live' THEN concat_ws(',', CASE WHEN stopped THEN 'remove stopped' END, CASE WHEN released THEN 'remove released' END) WHEN state = 'stopped' THEN concat_ws(',', CASE WHEN NOT stopped THEN 'write stopped' END, CASE WHEN released THEN 'remove released' END) ELSE '' END AS action FROM nm", NAMES)
+def marker_actions(spark, sf_dir):
+    return _names(spark, sf_dir).select("id", P.marker_action(F.col("state"), F.col("owner"), F.lit("c1"), F.col("stopped"), F.col("released")).alias("action"))
+
+
+@query("SELECT k AS id, CASE WHEN n >= 1073741824 THEN printf('%.2f GiB', n / 1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) ELSE n || ' B' END AS shown, format('{:,}', n) AS commas FROM (SELECT o_orderkey AS k, o_orderkey * o_orderkey * 977 AS n FROM orders)")
+def formatted_sizes(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * F.col("o_orderkey") * 977).alias("n"))
+    return rows.select("id", P.size_text(F.col("n")).alias("shown"), F.format_number("n", 0).alias("commas"))
+
+
+FILES = "fl AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN u || '.manifest' WHEN 1 THEN u || '-stop.manifest' WHEN 2 THEN u || '.idx' WHEN 3 THEN lower(u) || '.manifest' ELSE 'U' || u || '.manifest' END AS name, u FROM (SELECT p_partkey, '01ARZ3NDEKTSV4RRFFQ' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 7, '0') AS u FROM part))"
+
+
+@query("SELECT id, CASE WHEN id % 5 < 2 THEN u END AS snapshot, CASE id % 5 WHEN 0 THEN 'user' WHEN 1 THEN 'stop' END AS kind FROM fl", FILES)
+def snapshot_files(spark, sf_dir):
+    k = F.col("p_partkey")
+    u = F.concat(F.lit("01ARZ3NDEKTSV4RRFFQ"), F.lpad((k % 1000).cast("string"), 7, "0"))
+    name = F.when(k % 5 == 0, F.concat(u, F.lit(".manifest"))).when(k % 5 == 1, F.concat(u, F.lit("-stop.manifest"))).when(k % 5 == 2, F.concat(u, F.lit(".idx"))).when(k % 5 == 3, F.concat(F.lower(u), F.lit(".manifest"))).otherwise(F.concat(F.lit("U"), u, F.lit(".manifest")))
+    snapshot, kind = P.snapshot_file(name)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("id"), snapshot.alias("snapshot"), kind.alias("kind"))
 
 
 @query("SELECT a.volume_id, segment_id, arg_min(a.layer, a.depth) AS owner FROM anc a JOIN (SELECT DISTINCT volume_id AS v, segment_id FROM fx_entries) s ON s.v = a.layer AND s.segment_id <= a.cutoff GROUP BY a.volume_id, segment_id", LAYERS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataq.operators import extentmap as X
 from strataq.operators import lineage as L
 from strataq.sources.fixtures import duck, fixture
+from strataq.sources.stage import staged
 
 VIS = "vis AS (SELECT *, (CASE tier WHEN 'wal' THEN 2 WHEN 'pending' THEN 1 ELSE 0 END) * 1000000000000 + segment_id * 1000000 + entry_idx AS pr FROM fx_entries e WHERE NOT (tier = 'index' AND EXISTS (SELECT 1 FROM fx_inputs i WHERE i.volume_id = e.volume_id AND i.input_id = e.segment_id)))"
 BLOCKS = "won AS (SELECT volume_id, lba, arg_max(entry_key, pr) AS entry_key, arg_max(start_lba, pr) AS s0, arg_max(hash, pr) AS hash, arg_max(segment_id, pr) AS claimant FROM (SELECT *, unnest(range(start_lba, start_lba + lba_length)) AS lba FROM vis) GROUP BY volume_id, lba)"
@@ -47,14 +48,15 @@ def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows = visible(spark, sf_dir)
-    extents = X.canonical_extents(rows)
-    return rows, X.live_map(rows), extents, X.delta_extents(rows, extents)
+    """Visible entries, the live map, bodies and deltas. The first three are staged, as each is read several times."""
+    rows = staged(visible(spark, sf_dir), "entries")
+    extents = staged(X.canonical_extents(rows), "extents")
+    return rows, staged(X.live_map(rows), "runs"), extents, X.delta_extents(rows, extents)
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows, runs, extents, _ = _core(spark, sf_dir)
-    return X.classify(rows, runs, extents, X.live_hashes(runs, rows)), runs
+    return staged(X.classify(rows, runs, extents, X.live_hashes(runs, rows)), "classified"), runs
 
 
 @query("SELECT * FROM live", VIS, BLOCKS, MAP)
@@ -100,10 +102,10 @@ def forked_live_map(spark, sf_dir):
     return L.forked_live_map(visible(spark, sf_dir), fixture(spark, sf_dir, "fx_lineage"))
 
 
-@query("SELECT volume_id, string_agg(layer, ',' ORDER BY layer) AS ids, count(*) AS n FROM anc GROUP BY volume_id", LAYERS)
+@query("SELECT volume_id, string_agg(layer, ',' ORDER BY depth) AS ids, count(*) AS n FROM anc GROUP BY volume_id", LAYERS)
 def lineage_ids(spark, sf_dir):
     found = L.layers(fixture(spark, sf_dir, "fx_lineage"))
-    return found.groupBy("volume_id").agg(F.array_join(F.array_sort(F.collect_set("layer_volume_id")), ",").alias("ids"), F.count("*").alias("n"))
+    return found.groupBy("volume_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("depth", "layer_volume_id"))), lambda x: x["layer_volume_id"]), ",").alias("ids"), F.count("*").alias("n"))
 
 
 @query("SELECT volume_id, hash, segment_id, entry_idx, kind FROM ext", VIS, EXT)
@@ -174,8 +176,11 @@ def gc_buckets(spark, sf_dir):
     return X.gc_buckets(X.gc_eligible(X.segment_density(_classified(spark, sf_dir)[0]), fixture(spark, sf_dir, "fx_snapshots")))
 
 
-@query(f"""SELECT entry_key, CASE WHEN outcome = 'fully_live' THEN 'keep' WHEN outcome IN ('demote_to_canonical', 'partial_with_canonical') THEN 'canonical' ELSE 'drop' END AS op, CASE WHEN outcome = 'fully_live' THEN start_lba END AS start_lba, CASE WHEN outcome = 'fully_live' THEN lba_length END AS lba_length, CAST(NULL AS BIGINT) AS payload_block_offset FROM outc SEMI JOIN elig USING (volume_id, segment_id) WHERE outcome IN ('fully_live', 'demote_to_canonical', 'partial_with_canonical', 'drop', 'drop_and_remove_hash')
-UNION ALL SELECT o.entry_key, CASE WHEN o.kind = 'zero' THEN 'zero_split' ELSE 'run' END, greatest(r.start_lba, o.start_lba), least(r.start_lba + r.lba_length, o.start_lba + o.lba_length) - greatest(r.start_lba, o.start_lba), CASE WHEN o.kind <> 'zero' THEN greatest(r.start_lba, o.start_lba) - o.start_lba END FROM outc o SEMI JOIN elig USING (volume_id, segment_id) JOIN live r ON r.volume_id = o.volume_id AND r.start_lba < o.start_lba + o.lba_length AND r.start_lba + r.lba_length > o.start_lba WHERE (o.outcome LIKE 'partial%' OR o.outcome = 'zero_sub_runs') AND CASE WHEN o.kind = 'zero' THEN r.hash = {ZERO} ELSE r.hash = o.hash AND r.payload_block_offset - r.start_lba = -o.start_lba END""", *CORE, CLS, DENS, ELIG)
+GC_PLAN_SQL = f"""SELECT *, row_number() OVER (PARTITION BY entry_key ORDER BY CASE WHEN op IN ('run', 'zero_split') THEN 1 ELSE 0 END, start_lba) - 1 AS ord FROM (SELECT entry_key, CASE WHEN outcome = 'fully_live' THEN 'keep' WHEN outcome IN ('demote_to_canonical', 'partial_with_canonical') THEN 'canonical' ELSE 'drop' END AS op, CASE WHEN outcome = 'fully_live' THEN start_lba END AS start_lba, CASE WHEN outcome = 'fully_live' THEN lba_length END AS lba_length, CAST(NULL AS BIGINT) AS payload_block_offset FROM outc SEMI JOIN elig USING (volume_id, segment_id) WHERE outcome IN ('fully_live', 'demote_to_canonical', 'partial_with_canonical', 'drop', 'drop_and_remove_hash')
+UNION ALL SELECT o.entry_key, CASE WHEN o.kind = 'zero' THEN 'zero_split' ELSE 'run' END, greatest(r.start_lba, o.start_lba), least(r.start_lba + r.lba_length, o.start_lba + o.lba_length) - greatest(r.start_lba, o.start_lba), CASE WHEN o.kind <> 'zero' THEN greatest(r.start_lba, o.start_lba) - o.start_lba END FROM outc o SEMI JOIN elig USING (volume_id, segment_id) JOIN live r ON r.volume_id = o.volume_id AND r.start_lba < o.start_lba + o.lba_length AND r.start_lba + r.lba_length > o.start_lba WHERE (o.outcome LIKE 'partial%' OR o.outcome = 'zero_sub_runs') AND CASE WHEN o.kind = 'zero' THEN r.hash = {ZERO} ELSE r.hash = o.hash AND r.payload_block_offset - r.start_lba = -o.start_lba END)"""
+
+
+@query(GC_PLAN_SQL, *CORE, CLS, DENS, ELIG)
 def gc_plan_rows(spark, sf_dir):
     classified, runs = _classified(spark, sf_dir)
     eligible = X.gc_eligible(X.segment_density(classified), fixture(spark, sf_dir, "fx_snapshots"))
@@ -200,7 +205,10 @@ def snapshot_live_segments(spark, sf_dir):
     return X.snapshot_live_segments(rows, runs, extents)
 
 
-@query("SELECT volume_id, hash, start_lba, end_lba - start_lba AS lba_length, dead_blocks, live_blocks, stored AS stored_bytes, NOT exact AS is_lower_bound FROM (SELECT *, logical - live_blocks AS dead_blocks FROM (SELECT a.*, x.kind IS NOT NULL AND NOT x.compressed AS exact, CASE WHEN x.kind IS NOT NULL AND NOT x.compressed THEN x.stored_length // 4096 ELSE reach END AS logical, coalesce(x.stored_length, reach * 4096) AS stored FROM (SELECT volume_id, hash, min(start_lba) AS start_lba, max(start_lba + lba_length) AS end_lba, CAST(sum(lba_length) AS BIGINT) AS live_blocks, max(payload_block_offset + lba_length) AS reach FROM live WHERE hash <> " + ZERO + " GROUP BY ALL) a LEFT JOIN ext x USING (volume_id, hash) LEFT JOIN del d USING (volume_id, hash) WHERE (x.kind IS NOT NULL AND x.kind NOT LIKE '%inline') OR (x.kind IS NULL AND d.hash IS NOT NULL))) WHERE dead_blocks >= 1 AND stored >= 4096 AND CAST(dead_blocks AS DOUBLE) / logical >= 0.1", VIS, BLOCKS, MAP, EXT, DEL)
+RECLAIM_SQL = "SELECT volume_id, hash, start_lba, end_lba - start_lba AS lba_length, dead_blocks, live_blocks, stored AS stored_bytes, NOT exact AS is_lower_bound FROM (SELECT *, logical - live_blocks AS dead_blocks FROM (SELECT a.*, x.kind IS NOT NULL AND NOT x.compressed AS exact, CASE WHEN x.kind IS NOT NULL AND NOT x.compressed THEN x.stored_length // 4096 ELSE reach END AS logical, coalesce(x.stored_length, reach * 4096) AS stored FROM (SELECT volume_id, hash, min(start_lba) AS start_lba, max(start_lba + lba_length) AS end_lba, CAST(sum(lba_length) AS BIGINT) AS live_blocks, max(payload_block_offset + lba_length) AS reach FROM live WHERE hash <> " + ZERO + " GROUP BY ALL) a LEFT JOIN ext x USING (volume_id, hash) LEFT JOIN del d USING (volume_id, hash) WHERE (x.kind IS NOT NULL AND x.kind NOT LIKE '%inline') OR (x.kind IS NULL AND d.hash IS NOT NULL))) WHERE dead_blocks >= 1 AND stored >= 4096 AND CAST(dead_blocks AS DOUBLE) / logical >= 0.1"
+
+
+@query(RECLAIM_SQL, VIS, BLOCKS, MAP, EXT, DEL)
 def reclaim_candidates(spark, sf_dir):
     _, runs, extents, deltas = _core(spark, sf_dir)
     return X.reclaim_candidates(runs, extents, deltas, dead_blocks=1, dead_ratio=0.1, stored_bytes=4096)

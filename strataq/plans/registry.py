@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataq.plans import extra, maps, more
+from strataq.plans import extra, maps, more, records, updates
 
-QUERIES: dict = maps.QUERIES | more.QUERIES | extra.QUERIES
-ORACLES: dict[str, str] = maps.ORACLES | more.ORACLES | extra.ORACLES
+QUERIES: dict = maps.QUERIES | more.QUERIES | extra.QUERIES | updates.QUERIES | records.QUERIES
+ORACLES: dict[str, str] = maps.ORACLES | more.ORACLES | extra.ORACLES | updates.ORACLES | records.ORACLES

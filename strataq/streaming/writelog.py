@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
@@ -18,17 +19,15 @@ def outcomes(writes: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held = state.get if state.exists else (-1, "")
-        for rows in batches:
-            out = []
-            for r in rows.sort_values("seq").itertuples():
-                if r.seq <= last:
-                    outcome = "late"
-                else:
-                    outcome = "zero" if r.op == "zero" else "noop" if r.hash == held else "write"
-                    last, held = r.seq, r.hash
-                out.append((r.seq, *key, outcome))
-            yield pd.DataFrame(out, columns=["seq", "volume_id", "lba", "outcome"])
-        state.update((last, held))
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")  # one block's rows of one batch
+        on_time = (rows["seq"] > last) & ~rows["seq"].duplicated()
+        taken = rows[on_time]
+        before = taken["hash"].shift(fill_value=held)
+        outcome = pd.Series("late", index=range(len(rows)))
+        outcome[on_time.to_numpy()] = np.where(taken["op"] == "zero", "zero", np.where(taken["hash"] == before, "noop", "write"))
+        if len(taken):
+            state.update((int(taken["seq"].iloc[-1]), taken["hash"].iloc[-1]))
+        yield pd.DataFrame({"seq": rows["seq"].to_numpy(), "volume_id": key[0], "lba": key[1], "outcome": outcome})
 
     blocks = writes.where("op <> 'flush'").select("seq", "volume_id", "lba", "op", "hash")
     return blocks.groupBy("volume_id", "lba").applyInPandasWithState(step, "seq long, volume_id string, lba long, outcome string", "last long, held string", "append", "NoTimeout")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions import codecs, predicates
 from strataq.operators import extentmap as X
-from strataq.operators import lineage, ownership, writes
+from strataq.operators import lineage, ownership, records, updates, writes
 
 SCHEMA = "entry_key long, volume_id string, segment_id long, tier string, entry_idx long, kind string, hash string, start_lba long, lba_length long, compressed boolean, stored_length long, source_hash string"
 
@@ -94,5 +94,30 @@ def test_codecs_and_predicates(spark):
     old, new = b"abcdefgh" * 600, b"abcdefgh" * 599 + b"xyz"
     assert codecs.undelta(old, codecs.delta(old, new)) == new
     assert codecs.gate(bytes(4096)) is not None and codecs.gate(bytes(range(256))) is None and codecs.gate(None) is None
-    row = spark.range(1).select(predicates.size_literal(F.lit("4G")).alias("a"), predicates.size_literal(F.lit("4X")).alias("b"), predicates.ownership(F.lit(None), F.lit("m")).alias("c")).collect()[0]
+    row = spark.range(1).select(predicates.size_literal(F.lit("4G")).alias("a"), predicates.size_literal(F.lit("4X")).alias("b"), predicates.ownership(F.lit("live"), F.lit(None), F.lit("m")).alias("c")).collect()[0]
     assert (row.a, row.b, row.c) == (4 << 30, None, "other")
+
+
+def test_conditional_inserts(spark):
+    """A carry around a newer middle keeps its offsets; a consumed claimant stands in nobody's way."""
+    runs = spark.createDataFrame([("v", 10, 2, "N", 7, 0, 1, None), ("v", 20, 4, "O", 5, 3, 2, None)], "volume_id string, start_lba long, lba_length long, hash string, claimant long, payload_block_offset long, entry_key long, source_hash string")
+    new = lambda *rows: spark.createDataFrame([("v", i, a, n, h, c, i, None) for i, (a, n, h, c) in enumerate(rows)], "volume_id string, entry_key long, start_lba long, lba_length long, hash string, claimant long, ord long, source_hash string")
+    shown = lambda df: sorted((r.start_lba, r.lba_length, r.hash, r.payload_block_offset) for r in df.collect())
+    assert shown(updates.insert_if_newer(runs, new((8, 6, "C", 6)))) == [(8, 2, "C", 0), (10, 2, "N", 0), (12, 2, "C", 4), (20, 4, "O", 3)]
+    assert shown(updates.insert_if_newer(runs, new((21, 1, "E", 5), (22, 1, "F", 9), (22, 1, "G", 9)))) == [(10, 2, "N", 0), (20, 2, "O", 3), (22, 1, "F", 0), (23, 1, "O", 6)]
+    gone = spark.createDataFrame([("v", 7)], "volume_id string, segment_id long")
+    assert shown(updates.insert_if_newer(runs, new((8, 6, "C", 6)), gone)) == [(8, 6, "C", 0), (20, 4, "O", 3)]
+
+
+def test_heads_are_read_strictly(spark):
+    bodies = ["anchor: none\nadded:\n  A\n  B\nsuperseded:\ntombstoned:\n  C\n", "anchor: x\nadded:\nsuperseded:\n", "anchor: x\nadded:\nadded:\nsuperseded:\ntombstoned:\n", "anchor: x\nadded:\nA\nsuperseded:\ntombstoned:\n", ""]
+    rows = records.parse_heads(spark.createDataFrame(list(enumerate(bodies)), "id int, body string")).collect()
+    assert sorted((r.section, r.entry) for r in rows if r.id == 0) == [("added", "A"), ("added", "B"), ("anchor", "none"), ("tombstoned", "C")]
+    assert {r.id: r.error for r in rows if r.id} == {1: "missing section tombstoned", 2: "duplicate section", 3: "unknown line", 4: "missing section anchor"}
+
+
+def test_fetch_batches(spark):
+    rows = [("v", 1, i, 100 * i, 100, i in (3, 7)) for i in range(9)] + [("v", 2, 0, 0, 900, False), ("v", 2, 1, 900, 50, False)]
+    df = spark.createDataFrame(rows, "volume_id string, segment_id long, entry_idx long, stored_offset long, stored_length long, present boolean").withColumn("section", F.lit("body"))
+    found = sorted((r.segment_id, r.start_entry, r.end_entry, r.body_start, r.body_end) for r in writes.warm_batches(df, 200).collect())
+    assert found == [(1, 0, 1, 0, 200), (1, 2, 2, 200, 300), (1, 4, 5, 400, 600), (1, 6, 6, 600, 700), (1, 8, 8, 800, 900), (2, 0, 0, 0, 900), (2, 1, 1, 900, 950)]

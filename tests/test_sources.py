@@ -1,7 +1,9 @@
 import hashlib
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from strataq.functions import codecs
 from strataq.sources import binary, text
 from strataq.streaming import writelog
 
@@ -24,6 +26,17 @@ def test_wrong_hash_ends_the_log():
     assert not records and cut
 
 
+def test_packed_payloads_are_checked_too():
+    body = b"abcdefgh" * 512
+    packed = codecs.gate(body)
+    record = lambda h, data: binary.encode_log([("data", h, 0, 1, True, data), ("zero", None, 5, 1, False, None)])
+    digest = hashlib.sha256(body).digest()
+    assert len(binary.parse_log(record(digest, packed))[0]) == 2
+    for broken in (record(b"w" * 32, packed), record(digest, packed[:-1] + b"z"), record(digest, b"junk")):
+        records, cut = binary.parse_log(broken)
+        assert not records and cut
+
+
 def test_segment_round_trip_and_bounds(spark, tmp_path):
     entry = lambda flags, offset, n, **x: {"hash": b"h" * 32, "start_lba": 1, "lba_length": 2, "flags": flags, "stored_offset": offset, "stored_length": n} | x
     good = binary.encode_segment([entry(0, 0, 8), entry(binary.SEG_INLINE, 0, 4), entry(binary.SEG_DELTA | binary.SEG_HAS_DELTAS, 0, 0, deltas=[(b"s" * 32, 0, 3, b"d" * 32)]), entry(binary.SEG_CANONICAL, 0, 8)], [b"i" * 16], b"abcd", b"12345678", b"xyz")
@@ -55,3 +68,34 @@ def test_stream_of_writes(spark, tmp_path):
     query.stop()
     assert [r.outcome for r in spark.table("seen").orderBy("seq").collect()] == ["write", "noop", "zero", "write", "write"]
     assert spark.table("seen").where(F.col("outcome") == "late").count() == 0
+
+
+def test_rows_of_a_batch_are_taken_in_order_over_its_chunks():
+    class State:
+        exists, value = False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+    held, state = {}, State()
+
+    class Rows:
+        def where(self, _):
+            return self
+
+        select = groupBy = lambda self, *_: self
+
+        def applyInPandasWithState(self, step, *_):  # noqa: N802
+            held["step"] = step
+
+    writelog.outcomes(Rows())
+    frame = lambda *rows: pd.DataFrame(rows, columns=["seq", "volume_id", "lba", "op", "hash"])
+    late_chunk = [frame((5, "v", 0, "write", "B"), (9, "v", 0, "write", "B")), frame((2, "v", 0, "write", "A"), (5, "v", 0, "write", "C"), (7, "v", 0, "zero", "Z"))]
+    out = pd.concat(held["step"](("v", 0), iter(late_chunk), state))
+    assert list(zip(out["seq"], out["outcome"], strict=True)) == [(2, "write"), (5, "write"), (5, "late"), (7, "zero"), (9, "write")]
+    out = pd.concat(held["step"](("v", 0), iter([frame((8, "v", 0, "write", "B"), (10, "v", 0, "write", "B"))]), state))
+    assert out["outcome"].tolist() == ["late", "noop"]
