@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,59 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Used only by a driver that is its own executor and names no shared folder, as in tests on one machine.
-LOCAL_SHARED = "file:///tmp/checkpoints/strataq"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir. Where it is unset, a folder of
-    this machine under a local master, and ValueError on a cluster, whose machines would each write to a disk of their own."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return LOCAL_SHARED
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-_SWEPT: set[str] = set()
-
-
-def _sweep(spark: SparkSession, folder: str) -> None:
-    try:
-        _remove(spark, folder)
-    except Exception:  # the session has ended before the interpreter: nothing can be asked of it any more
-        return
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, in the application's own part of it, which goes when the driver's Python ends."""
-    folder = f"{shared_dir(spark)}/strataq/{spark.sparkContext.applicationId}"
-    if folder not in _SWEPT:
-        _SWEPT.add(folder)
-        atexit.register(_sweep, spark, folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage, and what follows survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Deletes what staged() wrote for df; nothing that reads it may follow."""
-    if path := getattr(df, "_staged_at", None):
-        _remove(df.sparkSession, path)
+from strataq.sources.stage import LOCAL_SHARED, new_path, shared_dir, staged, unstage
 
+__all__ = ["LOCAL_SHARED", "attached", "nested", "new_path", "remainder", "scanned", "shared_dir", "slices", "staged", "table", "unnested", "unstage"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
