@@ -193,19 +193,19 @@ def rewrite_entries(spark, sf_dir):
     return R.materialise(plan, visible(spark, sf_dir).withColumn("body", body), block=32)
 
 
-OUTH = f"pl AS ({PLAN}), inh AS (SELECT DISTINCT o.volume_id, o.hash FROM outc o SEMI JOIN elig USING (volume_id, segment_id) WHERE o.kind IN {M.BODY} AND o.is_owner), outh AS (SELECT DISTINCT o.volume_id, o.hash FROM pl p JOIN outc o ON o.entry_key = p.entry_key WHERE p.op = 'keep' OR (p.op = 'canonical' AND o.entry_key % 2 = 0))"
+OUTH = f"pl AS ({PLAN}), inh AS (SELECT DISTINCT o.volume_id, o.hash FROM outc o SEMI JOIN elig USING (volume_id, segment_id) WHERE o.kind IN {M.BODY} AND o.is_owner), outh AS (SELECT DISTINCT o.volume_id, o.hash FROM pl p JOIN outc o ON o.entry_key = p.entry_key WHERE p.op IN ('keep', 'canonical') AND o.entry_key % 2 = 0)"
 
 
 @query("SELECT volume_id, count(*) AS dropped, count(*) FILTER (WHERE l) AS still_live, count(*) FILTER (WHERE l) > 0 AS cancelled FROM (SELECT i.volume_id, EXISTS (SELECT 1 FROM lh WHERE lh.volume_id = i.volume_id AND lh.hash = i.hash) AS l FROM inh i WHERE NOT EXISTS (SELECT 1 FROM outh o WHERE o.volume_id = i.volume_id AND o.hash = i.hash)) GROUP BY volume_id", *CORE, CLS, DENS, ELIG, OUTH)
 def rewrite_cancels(spark, sf_dir):
-    """A rewrite that has lost half of its canonical bodies: cancelled where a content that it doesn't carry is live."""
+    """A rewrite that has lost half of its bodies: cancelled where a content that it doesn't carry is live."""
     rows, runs, extents, _ = M._core(spark, sf_dir)
     live = X.live_hashes(runs, rows)
     classified = staged(X.classify(rows, runs, extents, live), "classified")
     eligible = X.gc_eligible(X.segment_density(classified), fixture(spark, sf_dir, "fx_snapshots"))
     plan = X.plan_rows(classified, eligible, runs)
     owned = classified.join(eligible.select("volume_id", "segment_id"), ["volume_id", "segment_id"], "left_semi").where(F.col("kind").isin(*X.BODY_KINDS) & F.col("is_owner"))
-    carried = plan.join(classified.select("entry_key", "volume_id", "hash"), "entry_key").where("op = 'keep' OR (op = 'canonical' AND entry_key % 2 = 0)")
+    carried = plan.join(classified.select("entry_key", "volume_id", "hash"), "entry_key").where("op IN ('keep', 'canonical') AND entry_key % 2 = 0")
     return R.cancels(owned, carried, live)
 
 
