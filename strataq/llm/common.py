@@ -68,8 +68,8 @@ def attached(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, tot
     """rows with the columns of facts, which has one row for each key and, in `count`, the number of rows of it; rows without
     facts go. total: how many rows there are, or more.
 
-    Keys of very many rows meet their facts in a broadcast, the others in a join by key: at most 2**15 keys can have over a
-    2**15th of all rows, so the broadcast has a bound, and so has what a key brings to a task of the join.
+    Keys of over 1,024 rows and over a 2**15th of all meet their facts in a broadcast, the others in a join by key: at most
+    2**15 keys can have over a 2**15th of all rows, so the broadcast has a bound, and so has what a key brings to a task of the join.
     """
     most = max(1024, total >> 15)
     hot = F.broadcast(facts.where(F.col(count) > most))
