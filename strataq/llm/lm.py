@@ -9,9 +9,10 @@ All of it is learned from all training rows. The counts are sums over tasks. Wei
 tenth of the training rows, with counts from the other nine, so that they see contexts as new text does; scoring then uses
 counts from all. When texts are scored nothing is learned any more, so a score doesn't depend on what a task read before.
 
-Size: the tables of slots grow with the training text up to MOST_BITS. A corpus with more training text than GROUP_BYTES is
-dealt by the hash of the text into as many groups as it has GROUP_BYTES; each group has tables, weights and a refinement of its
-own, learned from and used for its texts. So what is gathered grows with the corpus and what a task or the driver holds doesn't.
+Size: there is one model of all training rows, whatever their number. Its tables of slots grow with the training text: up to
+MOST_BITS whole, then in sections of that size, twice as many each time the text outgrows them by GROUP_BYTES a section. A
+window's slots all lie in one section, chosen by the last two bytes of its contexts. One section is broadcast; of several, each is
+met in tasks of its own by the windows that need it, so what a task or the driver holds doesn't grow. Both ways compute the same.
 
 A text's windows of a byte and its contexts repeat a lot: each task remembers windows (see Memory), and only those that it
 doesn't remember are counted or predicted bit by bit.
@@ -21,27 +22,32 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strataq.llm.common import nested, new_path, slices, staged, unnested, unstage
+from strataq.llm.common import nested, slices, staged, unnested, unstage
 
 #: Bytes of the contexts; bits of their tables at most, and by how many bits a table is below the bytes of training text.
 ORDERS, MOST_BITS, BELOW = (2, 3, 4, 5), (19, 20, 21, 23), (5, 4, 3, 2)
 LEAST_BITS = 14
+#: Training text for which a section is made.
 GROUP_BYTES = 1 << 30
+#: Tables of so many sections (1, or 0 for none) are broadcast; those of more are met by windows, in tasks that hold a section.
+WHOLE = 1
+#: Tasks that a section is dealt over; windows of a row sent to it; text whose windows are looked up together; rows at once.
+DEALT, PIECE, LOOK_BYTES, PIECE_ROWS = 8, 4096, 4 << 20, 200
 REACH = max(ORDERS)
 BLOCK_BITS = 14
 #: Stands before each text and after it; no byte of UTF-8 text.
@@ -71,6 +77,18 @@ def table_bits(n: int) -> tuple[int, ...]:
     return tuple(max(LEAST_BITS, min(most, n.bit_length() - below)) for most, below in zip(MOST_BITS, BELOW, strict=True))
 
 
+def sections_for(n: int) -> int:
+    """Sections of the tables for n bytes of training text, a power of two."""
+    return 1 << max(0, -(-n // GROUP_BYTES) - 1).bit_length()
+
+
+def section_of(windows: np.ndarray, sections: int) -> np.ndarray:
+    """The section of each window's slots: by the two bytes before its byte, which are in all of its contexts."""
+    x = ((windows >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint32) * _ODD32[0]
+    x ^= x >> np.uint32(15)
+    return ((x * _ODD32[1]).astype(np.uint64) * np.uint64(sections) >> np.uint64(32)).astype(np.int32)
+
+
 def packed(texts: list[bytes]) -> np.ndarray:
     """The window of each byte and each end of the texts, in order, each text between EDGEs: the byte lowest, above it those
     before it, the last first."""
@@ -191,6 +209,97 @@ class Counts:
         return out
 
 
+def pieces(windows: np.ndarray, sections: int, values: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(section, windows, values) of at most PIECE sorted windows, compressed."""
+    pack, own = zstandard.ZstdCompressor(level=1), section_of(windows, sections)
+    order = np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[order], np.arange(sections + 1))
+    for section in np.flatnonzero(np.diff(ends)):
+        for start in range(ends[section], ends[section + 1], PIECE):
+            at = order[start : min(start + PIECE, ends[section + 1])]
+            yield int(section), pack.compress(np.diff(windows[at], prepend=np.uint64(0)).tobytes()), pack.compress(values[at].tobytes())
+
+
+def _plain(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+def _windows(raw: bytes) -> np.ndarray:
+    return np.cumsum(_plain(raw, np.uint64), dtype=np.uint64)
+
+
+class Spilled(Counts):
+    """Counts of a task that hold no table: what gives way is kept to be sent to the sections."""
+
+    def __init__(self):
+        self.memory, self.seen, self.out = Memory(np.uint32), 0, []
+
+    def _spill(self, windows: np.ndarray, times: np.ndarray) -> None:
+        if len(windows):
+            self.out.append((windows, times.astype(np.uint32)))
+
+    def waiting(self) -> int:
+        return sum(len(w) for w, _ in self.out)
+
+    def sent(self, sections: int) -> Iterator[tuple[int, bytes, bytes]]:
+        if self.out:
+            windows, times = map(np.concatenate, zip(*self.out, strict=True))
+            order = np.argsort(windows)
+            self.out = []
+            yield from pieces(windows[order], sections, times[order])
+
+    def rest(self, sections: int) -> Iterator[tuple[int, bytes, bytes]]:
+        held = np.flatnonzero(self.memory.values)
+        self._spill(self.memory.keys[held], self.memory.values[held])
+        yield from self.sent(sections)
+        self.__init__()
+
+
+def count_sections(docs: DataFrame, text: str, kind: int, bits: tuple[int, ...], sections: int) -> DataFrame:
+    """As count_slots, with a section's blocks numbered after those of the sections before it. Tasks send windows with their
+    counts to the sections; each section is counted by DEALT tasks."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, salt = Spilled(), TaskContext.get().partitionId() % DEALT
+
+        def rows(found: Iterator[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            for section, windows, times in found:
+                yield pa.RecordBatch.from_arrays([pa.array([section], pa.int32()), pa.array([salt], pa.int32()), pa.array([windows], pa.binary()), pa.array([times], pa.binary())], ["section", "salt", "windows", "times"])
+
+        for whole in batches:
+            for b in slices(whole, text, CHUNK_BYTES):
+                counts.add(packed([(t or "").encode() for t in b.column(text).to_pylist()]))
+                if counts.seen >> 30:
+                    yield from rows(counts.rest(sections))
+                elif counts.waiting() > 1 << 20:
+                    yield from rows(counts.sent(sections))
+        yield from rows(counts.rest(sections))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, pack, last, table, seen = Slots(bits), zstandard.ZstdCompressor(level=1), None, None, 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            blocks = table.reshape(-1, 2 << BLOCK_BITS)
+            for i in np.flatnonzero(blocks.any(axis=1)):
+                yield pa.RecordBatch.from_arrays([pa.array([last[0] * len(blocks) + int(i)], pa.int32()), pa.array([kind], pa.int32()), pa.array([pack.compress(blocks[i].tobytes())], pa.binary())], ["block", "kind", "counts"])
+
+        for b in batches:
+            for *key, windows, times in zip(*(b.column(c).to_pylist() for c in ("section", "salt", "windows", "times")), strict=True):
+                n = _plain(times, np.uint32)
+                more = int(n.sum(dtype=np.uint64))
+                if key != last or seen + more >> 32:  # more than a cell can hold
+                    if last is not None:
+                        yield from done()
+                    last, table, seen = key, np.zeros(2 * slots.total, np.uint32), 0
+                seen += more
+                add_counts(table, slots, rows_of(_windows(windows)), n)
+        if last is not None:
+            yield from done()
+
+    sent = docs.select(text).mapInArrow(send, "section int, salt int, windows binary, times binary")
+    return sent.repartition("section", "salt").sortWithinPartitions("section", "salt").mapInArrow(count, "block int, kind int, counts binary")
+
+
 def count_slots(docs: DataFrame, text: str, kind: int, bits: tuple[int, ...]) -> DataFrame:
     """(block, kind, zeros and ones of the block's slots, compressed) from all whole texts; a row for a block and a task."""
 
@@ -285,25 +394,34 @@ def _start_weights() -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """The odds of all slots, the gated weights, and the refinement's log odds by last byte and bucket (None: not learned)."""
+    """The odds of a section's slots (None: they are given as inputs), the gated weights, and the refinement's log odds by last byte and bucket (None: not learned)."""
 
     bits: tuple[int, ...]
-    odds: np.ndarray
+    odds: np.ndarray | None
     weights: np.ndarray
     refined: np.ndarray | None = None
+    sections: int = 1
 
     def __post_init__(self):
         self.token = uuid.uuid4().hex
         self.slots = Slots(self.bits)
         self.squares = np.zeros(self.weights.shape)  # of all steps so far: each weight's steps shrink as it settles
 
-    def predict(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit of each window's byte: inputs (with a 1 for the bias), gate, the bit, mixed log odds."""
+    def inputs(self, rows: np.ndarray) -> np.ndarray:
+        """The odds of each window's slots, by bit, then by context."""
         hashes = context_hashes(rows)
+        return np.stack([self.odds[self.slots.at(h, node, i)] for _, node, _ in bits_of(rows) for i, h in enumerate(hashes)], axis=1)
+
+    def predict(self, rows: np.ndarray, inputs: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit of each window's byte: inputs (with a 1 for the bias), gate, the bit, mixed log odds. The odds of the
+        slots may be given as inputs() returns them."""
+        hashes = context_hashes(rows) if inputs is None else []
         for bit, node, side in bits_of(rows):
             x = np.ones((WIDTH, len(rows)), np.float32)
             for i, h in enumerate(hashes):
                 x[i] = self.odds[self.slots.at(h, node, i)]
+            if inputs is not None:
+                x[:-1] = inputs[:, bit * len(ORDERS) : (bit + 1) * len(ORDERS)].T
             x[:-1] *= np.float32(1 / LEVELS)
             gate = np.full(len(rows), bit, np.int64)
             for long in (x[-2], x[-3]):
@@ -345,8 +463,10 @@ class Mixer:
         """log10 probability of each whole text and its end. What a memory holds is the same cost that would be computed."""
         if not texts:
             return np.zeros(0)
-        memory = memory or Memory(np.float32)
-        windows = packed(texts)
+        return text_sums(self.costs(packed(texts), memory or Memory(np.float32)), texts)
+
+    def costs(self, windows: np.ndarray, memory: Memory) -> np.ndarray:
+        """What cost() gives for each window, by a memory."""
         at = memory.places(windows)
         hit = memory.keys[at] == windows
         out = memory.values[at].astype(np.float64)
@@ -357,34 +477,39 @@ class Mixer:
         met = np.zeros(len(memory.keys), bool)
         met[at[hit]] = True
         memory.replace(new, cost, met)
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        return np.add.reduceat(out, np.concatenate([[0], ends[:-1]]))
+        return out
 
-    def learn(self, rows: np.ndarray, times: np.ndarray) -> None:
+    def learn(self, rows: np.ndarray, times: np.ndarray, inputs: np.ndarray | None = None) -> None:
         """Online steps: after each batch of windows, the weights of its gates move against the gradient of its code length.
         A step is at most RATE, however often a window occurs."""
         order = np.random.default_rng(len(times)).permutation(len(times))
         for start in range(0, len(times), BATCH):
             own = order[start : start + BATCH]
             part, n = rows[own], times[own].astype(np.float32)
-            for x, gate, bit, mixed in self.predict(part):
+            for x, gate, bit, mixed in self.predict(part, None if inputs is None else inputs[own]):
                 error = (bit - 1 / (1 + np.exp(-np.clip(mixed, -MOST_ODDS, MOST_ODDS)))) * n
                 for k in range(WIDTH):
                     step = np.bincount(gate, weights=error * x[k], minlength=GATES)
                     self.squares[k] += step**2
                     self.weights[k] += (RATE * step / np.sqrt(np.maximum(self.squares[k], 1))).astype(np.float32)
 
-    def refine(self, rows: np.ndarray, times: np.ndarray, seen: np.ndarray) -> None:
+    def refine(self, rows: np.ndarray, times: np.ndarray, seen: np.ndarray, inputs: np.ndarray | None = None) -> None:
         """Adds to `seen` (zeros and ones by last byte and bucket) what came where."""
         for start in range(0, len(rows), 1 << 15):
             part, n = rows[start : start + (1 << 15)], times[start : start + (1 << 15)]
-            for _, _, bit, mixed in self.predict(part):
+            for _, _, bit, mixed in self.predict(part, None if inputs is None else inputs[start : start + (1 << 15)]):
                 low, share = self.place(part, mixed)
                 for side, weight in ((low, n * (1 - share)), (low + 1, n * share)):
                     seen[0] += np.bincount(side, weights=weight * (1 - bit), minlength=seen.shape[1])
                     seen[1] += np.bincount(side, weights=weight * bit, minlength=seen.shape[1])
 
 
+def text_sums(costs: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Sums of the windows' costs by text."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return np.add.reduceat(costs, np.concatenate([[0], ends[:-1]]))
+
+
 _WARM: list = [None, None]
 
 
@@ -422,7 +547,84 @@ def _lane_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[
         yield last, held
 
 
-def _learn_weights(dealt: DataFrame, bits: tuple[int, ...], part: Broadcast) -> np.ndarray:
+Chunks = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, None]]:
+    """Of each chunk in order: lane, distinct windows as rows, their counts; the odds are looked up in the tables."""
+    for lane, texts in _lane_chunks(batches):
+        yield lane, *distinct(texts), None
+
+
+def _met_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As _chunks, with the odds, from rows of looked_up sorted by place."""
+    width = 8 * len(ORDERS)
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        windows, times, inputs = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(windows)
+        return last >> 32, rows_of(windows[order]), times[order], inputs[order]
+
+    held, last = [], None
+    for b in batches:
+        for place, windows, times, inputs in zip(*(b.column(c).to_pylist() for c in ("place", "windows", "own", "answers")), strict=True):
+            if held and place != last:
+                yield whole()
+                held = []
+            last = place
+            held.append((_windows(windows), _plain(times, np.int64), _plain(inputs, np.int8).reshape(-1, width)))
+    if held:
+        yield whole()
+
+
+def _ask_chunks(dealt: DataFrame, sections: int) -> DataFrame:
+    """place (lane and number of the chunk), section, windows and own (their counts) of the lanes' chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Counter()
+        for lane, texts in _lane_chunks(batches):
+            windows, times = np.unique(packed(texts), return_counts=True)
+            yield from _asked(lane << 32 | numbers[lane], windows, sections, times.astype(np.int64))
+            numbers[lane] += 1
+
+    return dealt.mapInArrow(run, ASKED)
+
+
+ASKED = "place long, section int, windows binary, own binary"
+
+
+def _asked(place: int, windows: np.ndarray, sections: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for section, found, own in pieces(windows, sections, values):
+        yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([section], pa.int32()), pa.array([found], pa.binary()), pa.array([own], pa.binary())], ["place", "section", "windows", "own"])
+
+
+def looked_up(asked: DataFrame, tables: DataFrame, column: str, bits: tuple[int, ...], start: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """asked (see ASKED) with `answers`, an array of values for its windows, compressed. start() gets a section's odds, which are
+    in that column of tables (block, part, whole), and gives what answers. A section's windows are dealt over DEALT tasks."""
+    blocks = Slots(bits).total >> BLOCK_BITS
+    salts = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("salt")
+    held = tables.select((F.col("block") / blocks).cast("int").alias("section"), salts, F.lit(-1).cast("long").alias("place"), (F.col("block") % blocks).alias("block"), F.col(column).alias("windows"), F.lit(None).cast("binary").alias("own"))
+    rows = asked.select("section", F.pmod(F.xxhash64("place"), F.lit(DEALT)).cast("int").alias("salt"), "place", F.lit(-1).alias("block"), "windows", "own")
+    order = ["section", "salt"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, last, odds, answer = zstandard.ZstdCompressor(level=1), None, None, None
+        for b in batches:
+            for *key, place, block, raw, own in zip(*(b.column(c).to_pylist() for c in (*order, "place", "block", "windows", "own")), strict=True):
+                if key != last:
+                    last, odds, answer = key, np.zeros(blocks << BLOCK_BITS, np.int8), None
+                if block >= 0:  # these come first
+                    odds[block << BLOCK_BITS : (block + 1) << BLOCK_BITS] = np.frombuffer(raw, np.int8)
+                    continue
+                answer = answer or start(odds)
+                found = pack.compress(np.ascontiguousarray(answer(_windows(raw))).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([key[0]], pa.int32()), pa.array([raw], pa.binary()), pa.array([own], pa.binary()), pa.array([found], pa.binary())], ["place", "section", "windows", "own", "answers"])
+
+    dealt = held.unionByName(rows).repartition(*order).sortWithinPartitions(*order, "place")
+    return dealt.mapInArrow(run, ASKED + ", answers binary")
+
+
+def _learn_weights(dealt: DataFrame, bits: tuple[int, ...], part: Broadcast | None, chunks: Chunks) -> np.ndarray:
     """Weights learned online in each lane, averaged by the predictions made with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,13 +633,12 @@ def _learn_weights(dealt: DataFrame, bits: tuple[int, ...], part: Broadcast) ->
             return pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat * seen), pa.array([float(seen)] * len(flat))], ["i", "w", "n"])
 
         mixer, last, seen = None, None, 0
-        for lane, texts in _lane_chunks(batches):
+        for lane, rows, times, inputs in chunks(batches):
             if lane != last:
                 if mixer is not None:
                     yield done()
-                mixer, last, seen = Mixer(bits, part.value, _start_weights()), lane, 0
-            rows, times = distinct(texts)
-            mixer.learn(rows, times)
+                mixer, last, seen = Mixer(bits, part and part.value, _start_weights()), lane, 0
+            mixer.learn(rows, times, inputs)
             seen += int(times.sum())
         if mixer is not None:
             yield done()
@@ -450,13 +651,13 @@ def _learn_weights(dealt: DataFrame, bits: tuple[int, ...], part: Broadcast) ->
     return out.reshape(WIDTH, GATES)
 
 
-def _learn_refinement(dealt: DataFrame, bits: tuple[int, ...], part: Broadcast, weights: np.ndarray) -> np.ndarray:
+def _learn_refinement(dealt: DataFrame, bits: tuple[int, ...], part: Broadcast | None, weights: np.ndarray, chunks: Chunks) -> np.ndarray:
     """Log odds of what was seen at each last byte and bucket, which start from the bucket's own odds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = Mixer(bits, part.value, weights), np.zeros((2, 256 * BUCKETS))
-        for _, texts in _lane_chunks(batches):
-            mixer.refine(*distinct(texts), seen)
+        mixer, seen = Mixer(bits, part and part.value, weights), np.zeros((2, 256 * BUCKETS))
+        for _, rows, times, inputs in chunks(batches):
+            mixer.refine(rows, times, seen, inputs)
         at = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[0, at]), pa.array(seen[1, at])], ["i", "zeros", "ones"])
 
@@ -475,29 +676,44 @@ BATCH_ROWS = 1000
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH_ROWS rows for the jobs inside: tasks here hold tables, so less room is left for texts."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs inside: tasks here hold tables, so less room is left for texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    spark.conf.set(key, min(int(before), rows) if int(before) > 0 else rows)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def train(docs: DataFrame, text: str, dev: Column, key: Column) -> Mixer:
+def train(docs: DataFrame, text: str, dev: Column, key: Column) -> tuple[Mixer, DataFrame | None]:
     """The model from all rows of docs; `dev` marks the tenth on which mixing and refinement are learned, `key` (long, not
-    null) tells rows apart. Without rows, or without text, nothing was seen anywhere and each bit has even odds.
+    null) tells rows apart. Without rows, or without text, nothing was seen anywhere and each bit has even odds. Where there are
+    several sections, the model has no odds, and they are returned beside it (block, part, whole), staged.
 
-    The driver holds the model only: two bytes for each slot, at most the sum of 2**MOST_BITS of them, whatever the corpus.
+    The driver holds a section's odds at most: two bytes for each slot, at most the sum of 2**MOST_BITS of them, whatever the corpus.
     """
     size = F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)
     sums = docs.agg(size.alias("n"), F.sum(F.when(dev, F.coalesce(F.octet_length(text), F.lit(0)) + 1)).alias("dev")).collect()[0]
-    bits = table_bits(sums["n"] or 0)
-    slots = Slots(bits).total
+    bits, sections = table_bits(sums["n"] or 0), sections_for(sums["n"] or 0)
     main, held = docs.where(~dev), docs.where(dev)
-    tasks = docs.rdd.getNumPartitions()
+    n_lanes = max(1, -(-(sums["dev"] or 0) // LANE_BYTES))
+    dealt = lanes(held, text, key, n_lanes)
+    if sections > WHOLE:
+        with small_batches(docs.sparkSession, PIECE_ROWS):
+            counted = count_sections(main, text, 0, bits, sections).unionByName(count_sections(held, text, 1, bits, sections))
+            summed = staged(sum_blocks(counted, DEALT), "lm-counts")
+            tables = staged(odds_blocks(summed), "lm-odds")
+            unstage(summed)
+            look = lambda odds: lambda windows, model=Mixer(bits, odds, _start_weights()): model.inputs(rows_of(windows))
+            met = staged(looked_up(_ask_chunks(dealt, sections), tables, "part", bits, look), "lm-inputs")
+            ordered = met.withColumn("lane", F.shiftright("place", 32)).repartition(n_lanes, "lane").sortWithinPartitions("place")
+            weights = _learn_weights(ordered, bits, None, _met_chunks)
+            refined = _learn_refinement(ordered, bits, None, weights, _met_chunks)
+            unstage(met)
+        return Mixer(bits, None, weights, refined, sections), tables
+    slots, tasks = Slots(bits).total, docs.rdd.getNumPartitions()
     summed = staged(sum_blocks(count_slots(main, text, 0, bits), tasks).unionByName(sum_blocks(count_slots(held, text, 1, bits), tasks)), "lm-counts")
     part, whole = np.zeros(slots, np.int8), np.zeros(slots, np.int8)
     for r in odds_blocks(summed).toLocalIterator():
@@ -505,11 +721,10 @@ def train(docs: DataFrame, text: str, dev: Column, key: Column) -> Mixer:
         part[span], whole[span] = np.frombuffer(r["part"], np.int8), np.frombuffer(r["whole"], np.int8)
     unstage(summed)
     known = docs.sparkSession.sparkContext.broadcast(part)
-    dealt = lanes(held, text, key, max(1, -(-(sums["dev"] or 0) // LANE_BYTES)))
-    weights = _learn_weights(dealt, bits, known)
-    refined = _learn_refinement(dealt, bits, known, weights)
+    weights = _learn_weights(dealt, bits, known, _chunks)
+    refined = _learn_refinement(dealt, bits, known, weights, _chunks)
     known.unpersist()
-    return Mixer(bits, whole, weights, refined)
+    return Mixer(bits, whole, weights, refined), None
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -611,56 +826,122 @@ def _score(docs: DataFrame, keep: list[Column], text: str, train_rows: Column, d
     learned = source.where("_train")
     counts = staged(word_counts(learned, "_text"), "words")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()[0]
-    size = learned.agg(F.count("*").alias("ends"), F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 1).alias("bytes")).collect()[0]
-    ends, n, v = size["ends"], (sums["n"] or 0) + size["ends"], sums["v"] + (size["ends"] > 0)
+    ends = learned.count()
+    n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     least, frequent = (max(1, -(-(sums["n"] or 0) // (1 << b))) for b in (HEAD_BITS, DICT_BITS))
     head = spark.sparkContext.broadcast(Words(((r["word"], r["n"]) for r in counts.where(F.col("n") >= least).toLocalIterator()), frequent))
 
-    groups = max(1, -(-(size["bytes"] or 0) // GROUP_BYTES))
-    if groups == 1:
-        parts = [_scored(source, head)]
-    else:
-        dealt = staged_by_group(source.withColumn("_group", F.pmod(F.xxhash64("_text"), F.lit(groups)).cast("int")))
-        parts = [_scored(dealt.where(F.col("_group") == g).drop("_group"), head) for g in range(groups)]
-    rows = reduce(DataFrame.unionByName, (p.withColumn("_group", F.lit(g)) for g, p in enumerate(parts)))
-    rare = rows.select("_group", "_row", F.explode("_rare").alias("r")).select("_group", "_row", F.col("r.w").alias("word"), F.col("r.n").alias("k"))
+    rows = _scored(source, head)
+    rare = rows.select("_row", F.explode("_rare").alias("r")).select("_row", F.col("r.w").alias("word"), F.col("r.n").alias("k"))
     met = rare.join(counts.where(F.col("n") < least), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    summed = met.groupBy("_group", "_row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 0.1)).alias("_s"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("_k"))
+    summed = met.groupBy("_row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 0.1)).alias("_s"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("_k"))
     norm = float(np.log10(n + 0.1 * (v + 1)))
     base = F.col("_sum") + F.coalesce("_s", F.lit(0.0)) + float(np.log10(ends + 0.1)) - F.col("_words") * F.lit(norm)
-    joined = rows.drop("_rare").join(summed, ["_group", "_row"], "left")
+    joined = rows.drop("_rare").join(summed, "_row", "left")
     n_known = F.col("_known") + F.coalesce("_k", F.lit(0)) + F.lit(int(ends > 0))
     out = joined.select("_kept", F.col("_words").alias("n_tokens"), n_known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("_score").alias("score"), F.col("_bits").alias("bits_per_byte"))
     return unnested(out, out.columns[1:])
 
 
-def staged_by_group(rows: DataFrame) -> DataFrame:
-    """rows written by group, so that reading a group reads only its files."""
-    path = new_path(rows.sparkSession, "lm-groups")
-    rows.write.partitionBy("_group").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+SCORED = ["_words", "_known", "_sum", "_rare", "_score", "_bits"]
+
+
+def _row_parts(kept: pa.Array, raw: list[bytes], scores: np.ndarray, words: Words) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])), pa.float64(), pa.float64())
+    n_words, n_known, sums, rare = words.sums(raw)
+    found = ([x + 1 for x in n_words], n_known, sums, rare, scores.tolist(), [-s / np.log10(2) / (len(t) + 1) for s, t in zip(scores.tolist(), raw, strict=True)])
+    return pa.RecordBatch.from_arrays([kept, *(pa.array(x, t) for x, t in zip(found, types, strict=True))], ["_kept", *SCORED])
 
 
 def _scored(source: DataFrame, head: Broadcast) -> DataFrame:
     """source with the model's score and the base's parts, staged; the model is learned from its training rows."""
-    model = train(source.where("_train"), "_text", F.col("_dev"), F.col("_key"))
+    model, tables = train(source.where("_train"), "_text", F.col("_dev"), F.col("_key"))
+    schema = StructType([source.schema["_kept"], *StructType.fromDDL("_words long, _known long, _sum double, _rare array<struct<w:binary,n:bigint>>, _score double, _bits double")])
+    if tables is not None:
+        return _scored_by_sections(source, head, model, tables, schema)
     known = source.sparkSession.sparkContext.broadcast(model)
-    kept = source.schema["_kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, mixer = head.value, known.value
         memory = warm(mixer)
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])), pa.float64(), pa.float64())
         for whole in batches:
             for b in slices(whole, "_text", CHUNK_BYTES):
                 raw = [(t or "").encode() for t in b.column("_text").to_pylist()]
-                scores = mixer.scores(raw, memory)
-                n_words, n_known, sums, rare = words.sums(raw)
-                found = ([x + 1 for x in n_words], n_known, sums, rare, scores.tolist(), [-s / np.log10(2) / (len(t) + 1) for s, t in zip(scores.tolist(), raw, strict=True)])
-                yield pa.RecordBatch.from_arrays([b.column("_kept"), *(pa.array(x, t) for x, t in zip(found, types, strict=True))], ["_kept", "_words", "_known", "_sum", "_rare", "_score", "_bits"])
+                yield _row_parts(b.column("_kept"), raw, mixer.scores(raw, memory), words)
 
-    schema = StructType([kept, *StructType.fromDDL("_words long, _known long, _sum double, _rare array<struct<w:binary,n:bigint>>, _score double, _bits double")])
     rows = source.select("_kept", "_text").mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
     out = staged(rows, "lm-rows")
     known.destroy()
     return out
+
+
+def _scored_by_sections(source: DataFrame, head: Broadcast, model: Mixer, tables: DataFrame, schema: StructType) -> DataFrame:
+    """As _scored: texts are dealt into places of about LOOK_BYTES; the costs of a place's distinct windows come from the sections' tasks."""
+    sections = model.sections
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, size = TaskContext.get().partitionId() << 32, 0
+        for whole in batches:
+            for b in slices(whole, "_text", CHUNK_BYTES):
+                n = (pc.sum(pc.binary_length(b.column("_text"))).as_py() or 0) + b.num_rows
+                if size and size + n > LOOK_BYTES:
+                    place, size = place + 1, 0
+                size += n
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([place] * b.num_rows, pa.int64())], ["_kept", "_text", "_place"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            for place, t in zip(b.column("_place").to_pylist(), b.column("_text").to_pylist(), strict=True):
+                if held and place != last:
+                    windows = np.unique(packed(held))
+                    yield from _asked(last, windows, sections, np.zeros(len(windows), np.int8))
+                    held = []
+                last = place
+                held.append((t or "").encode())
+        if held:
+            windows = np.unique(packed(held))
+            yield from _asked(last, windows, sections, np.zeros(len(windows), np.int8))
+
+    def start(odds: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        mixer, memory = Mixer(model.bits, odds, model.weights, model.refined), Memory(np.float32)
+        return lambda windows: mixer.costs(windows, memory).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, last, held, known = head.value, None, [], None
+        for whole in batches:
+            at = whole.column("_place").to_numpy()
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                rows = whole.slice(lo, hi - lo)
+                if at[lo] != last:
+                    last, held, known = at[lo], [], None
+                costs = pc.is_valid(rows.column("answers"))
+                for windows, found in zip(*(rows.filter(costs).column(c).to_pylist() for c in ("windows", "answers")), strict=True):  # these come first
+                    held.append((_windows(windows), _plain(found, np.float32)))
+                texts = rows.filter(pc.invert(costs))
+                for b in slices(texts, "_text", CHUNK_BYTES):
+                    if known is None:
+                        windows, found = (np.concatenate(x) for x in zip(*held, strict=True))
+                        order = np.argsort(windows, kind="stable")
+                        known, held = (windows[order], found[order]), []
+                    raw = [(t or "").encode() for t in b.column("_text").to_pylist()]
+                    cost = known[1][np.searchsorted(known[0], packed(raw))].astype(np.float64)
+                    yield _row_parts(b.column("_kept"), raw, text_sums(cost, raw), words)
+
+    spark = source.sparkSession
+    with small_batches(spark, PIECE_ROWS):
+        placed = StructType([*source.select("_kept", "_text").schema, *StructType.fromDDL("_place long")])
+        texts = staged(source.select("_kept", "_text").mapInArrow(deal, placed), "lm-texts")
+        answers = looked_up(texts.select("_text", "_place").mapInArrow(ask, ASKED), tables, "whole", model.bits, start)
+        none = F.lit(None).cast("binary")
+        both = texts.select("_place", "_kept", "_text", none.alias("windows"), none.alias("answers")).unionByName(
+            answers.select(F.col("place").alias("_place"), F.lit(None).cast(source.schema["_kept"].dataType).alias("_kept"), F.lit(None).cast("string").alias("_text"), "windows", "answers")
+        )
+        dealt = both.repartition("_place").sortWithinPartitions("_place", F.col("answers").isNull())
+        out = staged(dealt.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
+    unstage(texts)
+    unstage(tables)
+    return out

@@ -476,6 +476,51 @@ def test_scores_do_not_depend_on_how_rows_are_dealt(spark, docs):
     assert all(abs(found[0][i] - found[1][i]) < 1e-4 * abs(found[0][i]) for i in found[0])
 
 
+def test_scores_are_those_of_one_model_whatever_the_size(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(12)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words, 20))) for i in range(160)], "doc_id long, text string")
+    scores = lambda: {r.doc_id: r.score for r in lm.score(df, [F.col("doc_id")], "text", F.col("doc_id") % 10 != 0, F.col("doc_id") % 10 == 9, F.col("doc_id")).collect()}
+    monkeypatch.setattr(lm, "BELOW", (-5, -6, -7, -9))  # hardly any contexts share slots
+    want = scores()
+    monkeypatch.setattr(lm, "GROUP_BYTES", 4000)
+    got = scores()
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 0.003 * abs(want[i]) for i in want)
+
+
+def test_scores_by_sections_are_those_by_whole_tables(spark, docs, odd, monkeypatch):
+    rest = remainder(F.col("doc_id"), 10)
+    scores = lambda df: {r.doc_id: r.score for r in lm.score(df, [F.col("doc_id")], "text", rest != 0, rest == 9, F.col("doc_id")).collect()}
+    tables = (docs.select("doc_id", "text").limit(120).localCheckpoint(), odd.select("doc_id", "text"))
+    whole = [scores(df) for df in tables]
+    monkeypatch.setattr(lm, "WHOLE", 0)
+    monkeypatch.setattr(lm, "PIECE", 500)
+    monkeypatch.setattr(lm, "LOOK_BYTES", 30_000)
+    for df, want in zip(tables, whole, strict=True):
+        got = scores(df)
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 1e-5 * abs(want[i]) for i in want)
+
+
+def test_sections_hold_the_counts_of_all_windows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 50)
+    texts = [f"row {i % 7} of the {i % 5} tables, {i}" for i in range(300)]
+    df, bits, sections = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), lm.table_bits(4000), 4
+    slots = lm.Slots(bits)
+    windows, times = np.unique(lm.packed([t.encode() for t in texts]), return_counts=True)
+    own = lm.section_of(windows, sections)
+    assert len(set(own.tolist())) == sections and (lm.section_of(windows, 1) == 0).all()
+    assert (own == lm.section_of(windows & np.uint64(0xFFFF00), sections)).all()
+    want = np.zeros((sections, 2 * slots.total), np.uint64)
+    for s in range(sections):
+        lm.add_counts(want[s], slots, lm.rows_of(windows[own == s]), times[own == s])
+    got = np.zeros_like(want).reshape(-1, 2 << lm.BLOCK_BITS)
+    for r in lm.count_sections(df, "text", 0, bits, sections).collect():
+        got[r.block] += lm._unpacked(bytes(r.counts))
+    assert (got.ravel() == want.ravel()).all()
+    monkeypatch.setattr(lm, "GROUP_BYTES", 100)
+    assert [lm.sections_for(n) for n in (0, 1, 100, 101, 200, 201, 400, 401)] == [1, 1, 1, 2, 2, 4, 4, 8]
+
+
 def _plain_mixer(learned, dev, texts, bits):
     """The model one bit at a time: slots in a dictionary by the same hash, learning and refinement as stated."""
     slots = lm.Slots(bits)
