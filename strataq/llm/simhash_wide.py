@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import attached, nested, slices, staged, unnested
+from strataq.llm.common import attached, nested, slices, staged, unnested, unstage
 from strataq.llm.components import roots
 from strataq.llm.lm import small_batches
 from strataq.llm.simhash import LEAF, SLICE, labels
@@ -41,6 +42,8 @@ LARGE_GROUP, FEW = 16, 16
 SAMPLED, COMMON_BITS = 8, 18
 #: Bits of the filter by which texts to compare are read again; false hits cost time only.
 FILTER_BITS = 26
+#: Shingles of the prefix filter are dealt over so many passes, so that the disk holds the shuffled rows of one pass at a time.
+PASSES = 4
 #: Against rounding, far below the least step of a similarity.
 TINY = 1e-9
 
@@ -308,13 +311,14 @@ def common_shingles(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     counts = staged(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "wide-common")
     least = -(-(counts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0) // (1 << COMMON_BITS))
     got = counts.where(F.col("n") >= least).toArrow()
+    unstage(counts)
     token, n = got.column("token").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(token)
     return token[order], n[order]
 
 
 def prefix_pairs(dealt: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """dealt: token, label, node (long), size, at (int). Pairs u > v that meet at a token; see meeting_pairs. Where over FEW texts
+    """dealt: token, label, node (long), size, at (int). Distinct pairs u > v that meet at a token, staged; see meeting_pairs. Where over FEW texts
     meet, pairs are left out whose sketches differ too much (see sketched_pairs)."""
     names = ["token", "label", "node", "size", "at"]
     kinds = "u long, v long, token long, label long, node long, size long, at int"
@@ -356,7 +360,10 @@ def prefix_pairs(dealt: DataFrame, prints: DataFrame, similarity: float) -> Data
             yield from few(held)
 
     met = staged(dealt.select(*names).repartition("token").sortWithinPartitions("token", "label").mapInArrow(run, kinds), "wide-met")
-    return met.where("u IS NOT NULL").select("u", "v").unionByName(sketched_pairs(met.where("u IS NULL").select(*names), prints, similarity))
+    pairs = met.where("u IS NOT NULL").select("u", "v").unionByName(sketched_pairs(met.where("u IS NULL").select(*names), prints, similarity))
+    out = staged(pairs.distinct(), "wide-passed")
+    unstage(met)
+    return out
 
 
 #: Rows of a block: members of a token are compared block against block.
@@ -496,6 +503,14 @@ def _drop(docs: DataFrame, key: str, text: str, similarity: float, shingle: int)
     mark, other = F.xxhash64(*facts).alias("_mark"), F.xxhash64(F.lit(1), *facts).alias("_other")  # 128 bits name a row
     source = docs.select(mark, other, own_key.alias("_key"), own_text.alias("_text"))
 
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "_text"):
+                node, check = zip(*(node_of(shingles(t.as_py(), shingle)) for t in b.column("_text")), strict=True)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(node, pa.int64()), pa.array(check, pa.int64())], [*b.schema.names[:-1], "node", "check"])
+
+    named = staged(source.select("_mark", "_other", "_text").mapInArrow(name, "_mark long, _other long, node long, check long"), "wide-names")
+    moved = apart(named)[1]
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(source, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,25 +518,29 @@ def _drop(docs: DataFrame, key: str, text: str, similarity: float, shingle: int)
         for whole in batches:
             for b in slices(whole, "_text"):
                 own = [shingles(t.as_py(), shingle) for t in b.column("_text")]
-                node, check = zip(*map(node_of, own), strict=True)
-                found = (pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([fingerprint_of(s) for s in own], pa.binary()), pa.array([sketch(s[:, 1]) for s in own], pa.binary()))
+                names = [moved.get(n, n[0]) for n in map(node_of, own)]
+                found = (pa.array(names, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([fingerprint_of(s) for s in own], pa.binary()), pa.array([sketch(s[:, 1]) for s in own], pa.binary()))
                 firsts = pa.array([prefix(s[:, 0], common, counts, similarity).view(np.int64) for s in own], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found, firsts], [*b.schema.names[:-1], "node", "check", "size", "fp", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found, firsts], [*b.schema.names[:-1], "node", "size", "fp", "sketch", "prefix"])
 
-    rows, moved = apart(staged(source.mapInArrow(run, f"_mark long, _other long, _key {source.schema['_key'].dataType.simpleString()}, node long, check long, size long, fp binary, sketch binary, prefix array<long>"), "wide-rows"))
+    rows = source.mapInArrow(run, f"_mark long, _other long, _key {source.schema['_key'].dataType.simpleString()}, node long, size long, fp binary, sketch binary, prefix array<long>")
     first = F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_mark"), F.col("_other"))
     prints = staged(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.min(first).alias("first")), "wide-prints")
     grouped = staged(roots(near_links(prints, similarity)), "wide-groups")
     near = verified(source, prints, pivots(grouped, prints), similarity, shingle, moved)
     labelled = prints.join(near.withColumnRenamed("u", "node"), "node", "left").select("node", "size", "prefix", F.coalesce("v", "node").alias("label"))
     tokens = labelled.select(F.posexplode("prefix").alias("at", "token"), "label", "node", "size")
-    rest = verified(source, prints, prefix_pairs(tokens, prints, similarity), similarity, shingle, moved)
+    of = F.pmod(F.xxhash64("token", F.lit(3)), F.lit(PASSES))
+    met = [prefix_pairs(tokens.where(of == k), prints, similarity) for k in range(PASSES)]
+    rest = verified(source, prints, reduce(DataFrame.unionByName, met), similarity, shingle, moved)
     found = staged(roots(near.unionByName(rest)), "wide-roots")
     heads = prints.select("node", "first").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     names = ["_mark", "_other"]
     stays = heads.select(*(F.col(f"first.{n}") for n in names)).distinct()
-    marks = rows.groupBy(*names).agg(F.count("*").alias("n")).join(stays.withColumn("stays", F.lit(True)), names, "left")
+    marks = named.groupBy(*names).agg(F.count("*").alias("n")).join(stays.withColumn("stays", F.lit(True)), names, "left")
     marks = staged(marks.where("stays IS NULL OR n > 1"), "wide-marks")
+    for old in (named, prints, grouped, near, rest, found, *met):
+        unstage(old)
     whole = docs.select(nested([F.col(f"`{c}`") for c in docs.columns]), mark, other)
     kept = whole.join(marks.where("stays IS NULL").select(*names), names, "left_anti")
     if marks.where("stays").limit(1).count():  # the same row several times: once is enough

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from strataq.llm import bpe, components, decontaminate, langid, lm, media, pii, quality, sharding, simhash, simhash_wide, urlfilter
-from strataq.llm.common import remainder
+from strataq.llm.common import remainder, staged
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, _text string, score double"
@@ -720,6 +721,25 @@ def test_near_duplicates_among_a_common_passage_and_a_large_family(spark, monkey
     assert sorted(r.doc_id for r in kept.collect()) == _kept_by_hand(rows)
 
 
+def test_near_duplicates_leave_nothing_large_on_the_disk(spark, docs, monkeypatch):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    began = files()
+    staged(docs.repartition(3, "lang").select("doc_id"), "dealt")
+    assert files() <= began  # shuffle files go with their query
+    paths, real = {}, simhash_wide.staged
+
+    def recorded(df, name):
+        out = real(df, name)
+        paths.setdefault(name, []).append(out._staged_at.replace("file://", ""))
+        return out
+
+    monkeypatch.setattr(simhash_wide, "staged", recorded)
+    simhash_wide.drop_near_duplicates(docs).count()
+    assert len(paths["wide-met"]) == simhash_wide.PASSES and Path(paths["wide-marks"][0]).exists()
+    gone = ("wide-common", "wide-names", "wide-prints", "wide-groups", "wide-met", "wide-passed", "wide-verified", "wide-roots")
+    assert not any(Path(p).exists() for name in gone for p in paths[name])
+
+
 def test_sets_that_share_a_node_are_told_apart(spark):
     rows, moved = simhash_wide.apart(spark.createDataFrame([(1, 7, "a"), (1, 9, "b"), (1, 7, "c"), (2, 7, "d")], "node long, check long, x string"))
     got = {r.x: r.node for r in rows.collect()}
